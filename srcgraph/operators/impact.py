@@ -140,32 +140,31 @@ def simulate_removal(
 def match_target(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Node meant by a path argument: ``repo, argument, id``.
 
-    Exact id or path first; else the id ends with the argument or the argument
-    ends with the id, longest overlap first.  All tails of ids and of arguments
-    become equi-join keys, so no pair of unrelated rows meets.
+    A node matches when its id or path equals the argument, its id ends with the
+    argument, or the argument ends with its id; the longest overlap wins, then the
+    closest length.  Endings become equi-join keys: of the ids only those lengths
+    that some argument has, of the arguments all.
     """
-    def tails(column: str) -> Column:
-        s = F.col(column).cast("string")
-        parts = F.split(s, "/")
-        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(
-            F.slice(parts, i, F.size(parts)), "/"))
-
-    pool = nodes.select("repo", "id", F.coalesce(F.col("file_path"), F.col("id").cast("string"))
-                        .alias("file_path"))
-    ask = wanted.select("repo", "argument")
-    by_id = pool.select("repo", "id", F.explode(tails("id")).alias("argument"))
-    exact = pool.select("repo", "id", F.col("file_path").alias("argument"))
-    longer = ask.select("repo", "argument", F.explode(tails("argument")).alias("tail")).join(
-        pool.select("repo", "id", F.col("id").cast("string").alias("tail")), ["repo", "tail"]
-    ).select("repo", "argument", "id")
-    hits = (
-        ask.join(by_id, ["repo", "argument"]).select("repo", "argument", "id")
-        .unionByName(ask.join(exact, ["repo", "argument"]).select("repo", "argument", "id"))
-        .unionByName(longer).distinct())
     text = F.col("id").cast("string")
+    pool = nodes.select("repo", "id", text.alias("text"),
+                        F.coalesce(F.col("file_path"), text).alias("file_path"))
+    ask = wanted.select("repo", "argument").distinct()
+    # one row per distinct argument length, at most the longest path
+    sizes = ask.agg(F.collect_set(F.length("argument")).alias("sizes"))
+    ends = pool.join(F.broadcast(sizes)).select("repo", "id", F.explode(F.transform(
+        F.filter("sizes", lambda n: n <= F.length("text")), lambda n: F.right("text", n)))
+        .alias("argument"))
+    whole = pool.select("repo", "id", F.col("file_path").alias("argument"))
+    tails = ask.where("argument <> ''").select("repo", "argument", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("argument")), lambda n: F.right("argument", n))).alias("text"))
+    hits = (
+        ask.join(ends.unionByName(whole), ["repo", "argument"]).select("repo", "argument", "id")
+        .unionByName(tails.join(pool, ["repo", "text"]).select("repo", "argument", "id"))
+        .distinct())
+    overlap = F.least(F.length(text), F.length("argument"))
     far = F.abs(F.length(text) - F.length("argument"))
     return hits.groupBy("repo", "argument").agg(
-        F.min_by("id", F.struct(far, F.col("id"))).alias("id"))
+        F.min_by("id", F.struct(-overlap, far, F.col("id"))).alias("id"))
 
 
 def impact_report(

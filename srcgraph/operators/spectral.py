@@ -63,11 +63,8 @@ def pagerank(
         state, got = stage.save(
             step.select("repo", "id", "deg", F.col("fresh").alias("rank"),
                         F.abs(F.col("fresh") - F.col("rank")).alias("err"), "done"),
-            open=F.sum((~F.col("done")).cast("long")),
+            schema, open=F.sum((~F.col("done")).cast("long")),
         )
-        done_path = state._stage_path
-        state = stage.read(schema, done_path)
-        state._stage_path = done_path
         stage.drop(old)
         if not got["open"]:
             return state.select("repo", "id", F.col("rank").alias("pagerank"))
@@ -124,10 +121,7 @@ def eigenvector(
         state, got = stage.save(
             raw.join(norm, "repo").select(
                 "repo", "id", y.alias("x"), F.abs(y - F.col("x")).alias("err"), "done"),
-            open=F.sum((~F.col("done")).cast("long")))
-        path = state._stage_path
-        state = stage.read(schema, path)
-        state._stage_path = path
+            schema, open=F.sum((~F.col("done")).cast("long")))
         stage.drop(old)
         stage.drop(raw)
         if not got["open"]:

@@ -69,10 +69,10 @@ class Stage:
     def read(self, schema, *paths: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def save(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-        """Write and read back."""
+    def save(self, df: DataFrame, schema=None, **metrics: Column) -> tuple[DataFrame, dict]:
+        """Write and read back (the columns of ``schema``, default all)."""
         path, got = self.write(df, **metrics)
-        out = self.read(df.schema, path)
+        out = self.read(schema or df.schema, path)
         out._stage_path = path
         return out, got
 
@@ -81,3 +81,17 @@ class Stage:
         path = getattr(df, "_stage_path", None)
         if path:
             drop_path(self.spark, path)
+
+
+_shared: dict[tuple, tuple] = {}
+
+
+def staged_once(spark: SparkSession, name: str, key: str, build) -> DataFrame:
+    """A derived table several queries use, written on first use in a session."""
+    slot = (spark.sparkContext.applicationId, name, key)
+    if slot not in _shared:
+        df = build()
+        path, _ = Stage(spark, name).write(df)
+        _shared[slot] = (path, df.schema)
+    path, schema = _shared[slot]
+    return spark.read.schema(schema).parquet(path)
