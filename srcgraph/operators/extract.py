@@ -162,32 +162,31 @@ def python_lines(content: Column) -> Column:
     return _by_line(content, "import", per_line)
 
 
-def _ast_rows(text: str | None) -> list[dict]:
-    """Helper for one file: rows of the syntax tree, none when it does not parse."""
-    if not text:
-        return []
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    rows = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            rows += [{"module": a.name, "type": "module", "line": node.lineno} for a in node.names]
-        elif isinstance(node, ast.ImportFrom):
-            name = "." * node.level + (node.module or "")
-            rows.append({"module": name, "type": "from", "line": node.lineno})
-    return sorted(rows, key=lambda r: r["line"])
-
-
-@F.pandas_udf(ROWS)
-def _python_ast(content: pd.Series) -> pd.Series:
-    return content.map(_ast_rows)
-
-
 def python_exact(content: Column) -> Column:
     """Exact mode: the syntax tree; a file that does not parse has no rows."""
-    return _python_ast(content)
+
+    # defined here so that workers need no copy of this package
+    def rows_of(text: str | None) -> list[dict]:
+        if not text:
+            return []
+        try:
+            tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return []
+        rows = []
+        for node in ast.walk(tree):
+            if isinstance(node, ast.Import):
+                rows += [{"module": a.name, "type": "module", "line": node.lineno}
+                         for a in node.names]
+            elif isinstance(node, ast.ImportFrom):
+                name = "." * node.level + (node.module or "")
+                rows.append({"module": name, "type": "from", "line": node.lineno})
+        return sorted(rows, key=lambda r: r["line"])
+
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(rows_of)
+
+    return F.pandas_udf(parse, ROWS)(content)
 
 
 def _js_line(text: Column, n: Column, typed: bool) -> Column:
@@ -209,15 +208,16 @@ def typescript_lines(content: Column) -> Column:
 
 def javascript_exact(content: Column) -> Column:
     """Statement forms over several lines and re-exports; comments ignored."""
-    clean = strip_comments(content, mask_strings=True)
-    groups = []
-    for pattern, kind in JS_EXACT:
-        groups.append(F.transform(
-            match_lines(clean, pattern),
-            lambda x, pattern=pattern, kind=kind: F.struct(
-                F.regexp_extract(x["m"], pattern, 1).alias("module"),
-                F.lit(kind).alias("type"), x["line"].alias("line"))))
-    return F.when(content.rlike("import|require|export"), F.concat(*groups)).otherwise(_none())
+    def statements(clean: Column, pattern: str, kind: str) -> Column:
+        return F.transform(match_lines(clean, pattern), lambda x: F.struct(
+            F.regexp_extract(x["m"], pattern, 1).alias("module"), F.lit(kind).alias("type"),
+            x["line"].alias("line")))
+
+    # the cleaned text is a lambda variable, so it is computed once for all patterns
+    found = F.transform(
+        F.array(strip_comments(content, mask_strings=True)),
+        lambda clean: F.concat(*[statements(clean, p, kind) for p, kind in JS_EXACT]))
+    return F.when(content.rlike("import|require|export"), F.flatten(found)).otherwise(_none())
 
 
 def typescript_exact(content: Column) -> Column:

@@ -60,7 +60,8 @@ jdk.nio.mapmode jdk.security.auth.module
 
 _JAVA_RX = "^(" + "|".join(p.replace(".", r"\.") for p in JAVA_PREFIXES) + r")(\.|$)"
 PATHS = "array<string>"
-Candidates = Callable[[Column, Column, dict[str, Column]], Column]
+Bases = Callable[[Column, Column, dict[str, Column]], Column]
+Forms = Callable[[Column], list[Column]]
 
 
 def resolver_of_ext(ext) -> Column:
@@ -79,77 +80,83 @@ def _with(base: Column, suffix: str) -> Column:
     return F.concat(drop_extension(base), F.lit(suffix))
 
 
-def _python(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
+def _as_dirs(module: Column) -> Column:
+    return F.translate(module, ".", "/")
+
+
+def _python_bases(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
     dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
-    name = F.translate(F.regexp_replace(module, r"^\.+", ""), ".", "/")
-    up = F.concat(folder, F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0))))
-    base = resolve_dots(F.when(dots > 0, F.concat_ws("/", up, F.nullif(name, F.lit(""))))
-                        .otherwise(name))
-    return F.array(join_path(base, F.lit("__init__.py")), _with(base, ".py"),
-                   F.concat(base, F.lit(".py")))
-
-
-def _javascript(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
-    hit = F.filter(cfg["aliases"], lambda a: module.startswith(a["alias"]))
-    alias = F.get(hit, 0)
-    rest = F.regexp_replace(F.substring(module, F.length(alias["alias"]) + 1, F.length(module)),
-                            r"^/+", "")
-    base = resolve_dots(
+    up = F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0)))
+    local = F.concat(folder, up, F.lit("/"), _as_dirs(F.regexp_replace(module, r"^\.+", "")))
+    return F.array(F.when(dots > 0, local).otherwise(_as_dirs(module)))
+
+
+def _python_forms(base: Column) -> list[Column]:
+    return [join_path(base, F.lit("__init__.py")), _with(base, ".py"), F.concat(base, F.lit(".py"))]
+
+
+def _js_bases(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
+    # the first alias that fits decides; there is no second try without it
+    alias = F.get(F.filter(cfg["aliases"], lambda a: module.startswith(a["alias"])), 0)
+    rest = F.substring(module, F.length(alias["alias"]) + 1, F.length(module))
+    return F.array(
         F.when(module.startswith("."), F.concat_ws("/", folder, module))
-        .when(module.startswith("/"), module)
-        .when(F.size(hit) > 0, F.concat_ws("/", alias["target"], rest))
-        .otherwise(module))
+        .when(module.startswith("/") | alias.isNull(), module)
+        .otherwise(F.concat_ws("/", alias["target"], rest)))
+
+
+def _js_forms(base: Column) -> list[Column]:
     exact = F.when(extension(base).isin(JS_SUFFIXES), base)
-    return F.array(exact, *[_with(base, s) for s in JS_SUFFIXES],
-                   *[join_path(base, F.lit("index" + s)) for s in JS_SUFFIXES])
+    return [exact, *[_with(base, s) for s in JS_SUFFIXES],
+            *[join_path(base, F.lit("index" + s)) for s in JS_SUFFIXES]]
+
 
+def _go_bases(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
+    rest = F.substring(module, F.length(cfg["go_module"]) + 1, F.length(module))
+    return F.array(F.when(~_is_go_std(module), F.when(
+        module.rlike(r"^\.\.?/"), F.concat_ws("/", folder, module)
+    ).when(module.startswith(cfg["go_module"]), rest)))
 
-def _go(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
-    inside = cfg["go_module"].isNotNull() & module.startswith(cfg["go_module"])
-    rest = F.regexp_replace(
-        F.substring(module, F.length(cfg["go_module"]) + 1, F.length(module)), r"^/+", "")
-    target = (
-        F.when(module.rlike(r"^\.\.?/"), resolve_dots(F.concat_ws("/", folder, module)))
-        .when(inside & (rest == ""), F.lit("."))
-        .when(inside, resolve_dots(rest)))
-    return F.array(F.when(~_is_go_std(module), F.concat(F.lit("dir:"), target)))
 
+def _go_forms(base: Column) -> list[Column]:
+    # a Go target is a folder with Go files
+    return [F.concat(F.lit("dir:"), F.when(base == "", ".").otherwise(base))]
 
-def _java(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
-    name = F.concat(F.translate(module, ".", "/"), F.lit(".java"))
+
+def _java_bases(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
     closed = module.endswith(".*") | module.rlike(_JAVA_RX)
-    return F.when(closed, F.array().cast(PATHS)).otherwise(
-        F.transform(cfg["java_roots"], lambda r: join_path(r, name)))
+    return F.when(~closed, F.transform(cfg["java_roots"], lambda r: join_path(r, _as_dirs(module))))
 
 
-def _ruby(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
-    def forms(base: Column) -> list[Column]:
-        base = resolve_dots(base)
-        return [base, F.when(extension(base) == "", F.concat(base, F.lit(".rb")))]
+def _ruby_bases(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
+    near = F.concat_ws("/", folder, module)
+    return F.when(module.rlike(r"^\.\.?/"), F.array(near)).otherwise(
+        F.array(near, module, F.concat(F.lit("lib/"), module)))
 
-    near = forms(F.concat_ws("/", folder, module))
-    far = [F.when(~module.rlike(r"^\.\.?/"), c)
-           for c in forms(module) + forms(F.concat(F.lit("lib/"), module))]
-    return F.array(*near, *far)
 
+def _cpp_bases(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
+    return F.array(F.concat_ws("/", folder, module), module, *[
+        F.concat(F.lit(d + "/"), module) for d in ("include", "inc", "src")])
 
-def _cpp(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
-    spots = [F.concat_ws("/", folder, module), module]
-    spots += [F.concat(F.lit(d + "/"), module) for d in ("include", "inc", "src")]
-    return F.array(*[resolve_dots(s) for s in spots])
 
+def _rust_bases(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
+    inner = F.replace(F.regexp_replace(module, r"^crate::", ""), F.lit("::"), F.lit("/"))
+    return F.array(F.when(~module.contains("::"), F.concat_ws("/", folder, module))
+                   .when(module.startswith("crate::"), F.concat(F.lit("src/"), inner)))
 
-def _rust(folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
-    sibling = join_path(folder, module)
-    inner = F.concat(F.lit("src/"), F.replace(
-        F.regexp_replace(module, r"^crate::", ""), F.lit("::"), F.lit("/")))
-    crate = module.startswith("crate::")
-    plain = ~module.contains("::")
-    return F.array(
-        F.when(plain, F.concat(sibling, F.lit(".rs"))),
-        F.when(plain, F.concat(sibling, F.lit("/mod.rs"))),
-        F.when(crate, _with(inner, ".rs")),
-        F.when(crate, F.concat(inner, F.lit("/mod.rs"))))
+
+# per language: the paths a module may mean, and the file names tried for such a path
+_BASES: dict[str, Bases] = {
+    "python": _python_bases, "javascript": _js_bases, "go": _go_bases, "java": _java_bases,
+    "ruby": _ruby_bases, "cpp": _cpp_bases, "rust": _rust_bases,
+}
+_FORMS: dict[str, Forms] = {
+    "python": _python_forms, "javascript": _js_forms, "go": _go_forms,
+    "java": lambda b: [F.concat(b, F.lit(".java"))],
+    "ruby": lambda b: [b, F.when(extension(b) == "", F.concat(b, F.lit(".rb")))],
+    "cpp": lambda b: [b],
+    "rust": lambda b: [F.concat(b, F.lit(".rs")), F.concat(b, F.lit("/mod.rs"))],
+}
 
 
 def _is_go_std(module: Column) -> Column:
@@ -165,21 +172,20 @@ _STD: dict[str, Callable[[Column], Column]] = {
     "go": _is_go_std,
     "java": lambda m: F.regexp_replace(F.rtrim(m), r"\*+$|\.\*$|\.+$", "").rlike(_JAVA_RX),
 }
-_CANDIDATES: dict[str, Candidates] = {
-    "python": _python, "javascript": _javascript, "go": _go, "java": _java, "ruby": _ruby,
-    "cpp": _cpp, "rust": _rust,
-}
 _custom_ext: dict[str, str] = {}
 
 
-def register_resolver(lang: str, candidates: Candidates, stdlib=None,
+def register_resolver(lang: str, bases: Bases, forms: Forms | None = None, stdlib=None,
                       extensions: list[str] | None = None) -> None:
     """Add or replace the resolver of a language.
 
-    ``candidates(folder, module, config)`` returns the ranked candidate paths as an
-    array column; ``stdlib`` is a list of top-level names or a column predicate.
+    ``bases(folder, module, config)`` returns the ranked paths a module may mean as
+    an array column (``.`` and ``..`` are folded afterwards); ``forms(path)`` lists
+    the file names tried for one path, default the path itself.  ``stdlib`` is a
+    list of top-level names or a column predicate.
     """
-    _CANDIDATES[lang] = candidates
+    _BASES[lang] = bases
+    _FORMS[lang] = forms or (lambda b: [b])
     if callable(stdlib):
         _STD[lang] = stdlib
     elif stdlib:
@@ -207,12 +213,22 @@ def _local(lang: Column, module: Column) -> Column:
     return dotted | near | ~known
 
 
-def candidate_paths(lang: Column, folder: Column, module: Column, cfg: dict[str, Column]) -> Column:
-    """Ranked candidates of one question; nulls mark ranks that do not apply."""
-    out = F.array().cast(PATHS)
-    for name, fn in _CANDIDATES.items():
-        out = F.when(lang == name, fn(folder, module, cfg)).otherwise(out)
-    return out
+def candidate_paths(questions: DataFrame, cfg: dict[str, Column]) -> DataFrame:
+    """Questions with ``rank, known``: one row per candidate path, best rank first."""
+    lang, none = F.col("lang"), F.array().cast(PATHS)
+    bases, forms = none, none
+    for name, fn in _BASES.items():
+        bases = F.when(lang == name, fn(F.col("folder"), F.col("imported_module"), cfg)).otherwise(bases)
+    for name, fn in _FORMS.items():
+        forms = F.when(lang == name, F.flatten(_expand(fn))).otherwise(forms)
+    return (
+        questions.withColumn("bases", bases).withColumn("bases", F.transform("bases", resolve_dots))
+        .select("repo", "lang", "folder", "imported_module", F.posexplode(forms).alias("rank", "known"))
+        .where("known IS NOT NULL"))
+
+
+def _expand(forms: Forms) -> Column:
+    return F.transform("bases", lambda b: F.array(*forms(b)))
 
 
 def known_paths(files: DataFrame) -> DataFrame:
@@ -243,14 +259,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, configs: DataFrame) ->
         "go_module": F.col("go_module"), "aliases": F.coalesce("aliases", none),
         "java_roots": F.coalesce("java_roots", F.array(F.lit(""))),
     }
-    ranked = (
-        questions.join(configs, "repo", "left")
-        .select("repo", "lang", "folder", "imported_module",
-                F.posexplode(candidate_paths(F.col("lang"), F.col("folder"),
-                                             F.col("imported_module"), cfg))
-                .alias("rank", "known"))
-        .where("known IS NOT NULL")
-    )
+    ranked = candidate_paths(questions.join(configs, "repo", "left"), cfg)
     answers = (
         ranked.join(known_paths(files), ["repo", "known"])
         .groupBy("repo", "lang", "folder", "imported_module")

@@ -160,9 +160,9 @@ def betweenness(spark, sf):
         "id", F.round("betweenness", 8).alias("betweenness"))
 
 
-@query("betweenness_sampled", NATIONS + PATHS + """, pivot AS (
+@query("betweenness_sampled", NATIONS + PATHS + """, chosen AS (
   SELECT id FROM n ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 8), line(s, t, path) AS (
-  SELECT id, id, [id] FROM pivot
+  SELECT id, id, [id] FROM chosen
   UNION ALL
   SELECT l.s, e.target, list_append(l.path, e.target)
   FROM line l JOIN e ON e.source = l.t JOIN d ON d.s = l.s AND d.id = e.target
@@ -544,14 +544,14 @@ ad AS MATERIALIZED (SELECT origin, id, min(dist) AS dist FROM away GROUP BY 1, 2
 nxt AS MATERIALIZED (
   SELECT ad.origin, ad.id, min(e.target) AS nxt FROM ad JOIN e ON e.source = ad.id
   JOIN ad b ON b.origin = ad.origin AND b.id = e.target AND b.dist = ad.dist - 1 GROUP BY 1, 2),
-chain(origin, start, at, path) AS (
+chain(origin, start, here, path) AS (
   SELECT ad.origin, f.id, f.id, [f.id] FROM first_entries f JOIN ad ON ad.id = f.id AND ad.dist > 0
   UNION ALL
   SELECT c.origin, c.start, x.nxt, list_append(c.path, x.nxt) FROM chain c
-  JOIN nxt x ON x.origin = c.origin AND x.id = c.at WHERE c.at <> c.origin)
+  JOIN nxt x ON x.origin = c.origin AND x.id = c.here WHERE c.here <> c.origin)
 SELECT origin AS target, rank, array_to_string(path, '>') AS chain FROM (
   SELECT origin, path, row_number() OVER (PARTITION BY origin ORDER BY start) AS rank
-  FROM chain WHERE at = origin) WHERE rank <= 3"""
+  FROM chain WHERE here = origin) WHERE rank <= 3"""
 
 
 @query("dependency_chains", PARTS + "," + ENTRY + CHAINS)

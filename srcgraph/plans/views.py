@@ -232,7 +232,12 @@ def _folder(k: Column) -> Column:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """The ``files`` table of the corpus, a projection of ``part``.
+    """The ``files`` table of the corpus, written once per session."""
+    return staged_once(spark, "corpus", sf, lambda: corpus_plan(spark, sf))
+
+
+def corpus_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus as a projection of ``part``.
 
     Every file imports one later part, and some import an earlier one; both are of
     the same language and repository.
