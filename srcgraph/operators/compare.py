@@ -115,15 +115,15 @@ def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     und = _undirected(edges)
     deg = und.select("repo", F.explode(F.array("a", "b")).alias("id")).groupBy("repo", "id").agg(
         F.count(F.lit(1)).alias("d"))
-    rank_a = F.struct("da", "a")
-    rank_b = F.struct("db", "b")
+    rank_a = F.struct(F.col("da").alias("d"), F.col("a").alias("i"))
+    rank_b = F.struct(F.col("db").alias("d"), F.col("b").alias("i"))
     pointed = (
         und.join(deg.select("repo", F.col("id").alias("a"), F.col("d").alias("da")), ["repo", "a"])
         .join(deg.select("repo", F.col("id").alias("b"), F.col("d").alias("db")), ["repo", "b"])
         .select("repo",
                 F.when(rank_a < rank_b, F.col("a")).otherwise(F.col("b")).alias("lo"),
                 F.when(rank_a < rank_b, F.col("b")).otherwise(F.col("a")).alias("hi"),
-                F.greatest(rank_a, rank_b).alias("rank")))
+                F.when(rank_a < rank_b, rank_b).otherwise(rank_a).alias("rank")))
     one = pointed.select("repo", "lo", F.col("hi").alias("x"), F.col("rank").alias("rx"))
     two = pointed.select("repo", "lo", F.col("hi").alias("y"), F.col("rank").alias("ry"))
     wedge = one.join(two, ["repo", "lo"]).where("rx < ry")

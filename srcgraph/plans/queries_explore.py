@@ -1 +1,641 @@
-"""Queries."""
+"""Queries on folders, views, lists, snapshots, documents and scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from srcgraph.functions import paths as P
+from srcgraph.functions import urls
+from srcgraph.operators import build, compare, explore, folders, metrics
+from srcgraph.plans.queries_graph import MAX_LEN, RANK, ROUNDS, _rank, report_of
+from srcgraph.plans.registry import query
+from srcgraph.plans.views import CORPUS, PARTS, SNAPSHOTS, corpus, parts, snapshots, table
+from srcgraph.sinks import graph_docs as out_docs
+from srcgraph.sinks import report as out_report
+from srcgraph.sinks import store as out_store
+from srcgraph.sources import graph_docs as in_docs
+from srcgraph.sources import store as in_store
+from srcgraph.stage import Stage
+
+FOLDERS = PARTS + """,
+fm AS (SELECT id, unnest(['src', 'src/d' || (id % 7), 'src/d' || (id % 7) || '/e' || (id % 3)]) AS folder
+       FROM n WHERE node_type <> 'external'),
+fe AS (SELECT a.folder, source, target FROM e JOIN fm a ON a.id = source
+       JOIN fm b ON b.id = target AND b.folder = a.folder)"""
+
+
+def _sized(nodes):
+    """Part nodes with sizes derived from the key."""
+    i = F.col("id")
+    return nodes.withColumn("size_bytes", i * 37 % 1000).withColumn("line_count", i % 90)
+
+
+@query("folder_subgraph", FOLDERS + "SELECT source, target FROM fe WHERE folder = 'src/d3'")
+def folder_subgraph(spark, sf):
+    return folders.folder_subgraph(*parts(spark, sf), "src/d3")[1].select("source", "target")
+
+
+@query("folder_statistics", FOLDERS + """,
+fd AS (SELECT folder, id, (SELECT count(*) FROM fe WHERE fe.folder = fm.folder AND source = id) AS o,
+              (SELECT count(*) FROM fe WHERE fe.folder = fm.folder AND target = id) AS i FROM fm)
+SELECT folder, count(*) AS total_files, sum(o)::BIGINT AS total_imports,
+  count(*) FILTER (i = 0) AS entry_points_count, count(*) FILTER (i = 0 AND o = 0) AS isolated_count,
+  round(avg(o), 6) AS avg_imports_per_file, max(o) AS max_imports_in_file, max(i) AS most_imported_count,
+  'p' || arg_min(id, -i * 1000000 + id) || '.py' AS most_imported_module,
+  round(CASE WHEN count(*) > 1 THEN sum(o) / (count(*) * (count(*) - 1)) ELSE 0 END, 8) AS graph_density
+FROM fd GROUP BY 1""")
+def folder_statistics(spark, sf):
+    return folders.folder_statistics(*parts(spark, sf)).select(
+        "folder", "total_files", "total_imports", "entry_points_count", "isolated_count",
+        F.round("avg_imports_per_file", 6).alias("avg_imports_per_file"), "max_imports_in_file",
+        "most_imported_count", "most_imported_module", F.round("graph_density", 8).alias("graph_density"))
+
+
+FDEPTH = """,
+fw(folder, id, dist) AS (
+  SELECT folder, id, 0 FROM fm WHERE NOT EXISTS (
+    SELECT 1 FROM fe WHERE fe.folder = fm.folder AND fe.target = fm.id)
+  UNION SELECT w.folder, fe.target, w.dist + 1 FROM fw w JOIN fe ON fe.folder = w.folder
+        AND fe.source = w.id WHERE w.dist < 40),
+fdepth AS (SELECT folder, max(d) AS max_import_depth FROM (
+  SELECT folder, id, min(dist) AS d FROM fw GROUP BY 1, 2) GROUP BY 1)"""
+FCYCLES = """,
+ftc(folder, a, b) AS (
+  SELECT folder, source, target FROM fe
+  UNION SELECT t.folder, t.a, fe.target FROM ftc t JOIN fe ON fe.folder = t.folder AND fe.source = t.b),
+fcomp AS (SELECT x.folder, x.a, min(x.b) AS scc FROM ftc x JOIN ftc y
+          ON y.folder = x.folder AND y.a = x.b AND y.b = x.a GROUP BY 1, 2),
+fsize AS (SELECT folder, scc, count(*) AS c FROM fcomp GROUP BY 1, 2 HAVING count(*) > 1),
+fcyc AS (SELECT folder, count(c) AS total_cycles, coalesce(max(c), 0) AS largest_scc_size
+         FROM (SELECT DISTINCT folder FROM fm) LEFT JOIN fsize USING (folder) GROUP BY 1)"""
+FTOUCH = """,
+ft AS (
+  SELECT a.folder, target AS id, source AS inside FROM e JOIN fm a ON a.id = source
+  WHERE NOT EXISTS (SELECT 1 FROM fm b WHERE b.id = target AND b.folder = a.folder)
+  UNION ALL
+  SELECT b.folder, source, target FROM e JOIN fm b ON b.id = target
+  WHERE NOT EXISTS (SELECT 1 FROM fm a WHERE a.id = source AND a.folder = b.folder)),
+ftouch AS (SELECT folder, count(DISTINCT id) AS external_node_count, count(*) AS external_edges,
+  count(DISTINCT id) FILTER (id % 20 = 0) AS external_stdlib_count,
+  count(DISTINCT id) FILTER (id % 20 = 10) AS external_package_count FROM ft GROUP BY 1)"""
+FLARGE = """,
+flarge AS (SELECT folder, arg_max(p, (s, l, -id)) AS largest_file_path, max(s) AS largest_file_size_bytes FROM (
+  SELECT folder, id, id * 37 % 1000 AS s, id % 90 AS l,
+         'src/d' || (id % 7) || '/e' || (id % 3) || '/p' || id || '.py' AS p FROM fm) WHERE s > 0 OR l > 0
+  GROUP BY 1)"""
+
+
+@query("folder_depth", FOLDERS + FDEPTH + "SELECT * FROM fdepth")
+def folder_depth(spark, sf):
+    return folders.folder_depth(*parts(spark, sf)).drop("repo")
+
+
+@query("folder_cycles", FOLDERS + FCYCLES + "SELECT * FROM fcyc")
+def folder_cycles(spark, sf):
+    return folders.folder_cycles(*parts(spark, sf)).drop("repo")
+
+
+@query("external_touch", FOLDERS + FTOUCH + "SELECT * FROM ftouch")
+def external_touch(spark, sf):
+    return folders.external_touch(*parts(spark, sf)).drop("repo")
+
+
+@query("largest_file", FOLDERS + FLARGE.replace("(s, l, -id)", "s * 1000000000 + l * 10000000 - id") + """
+SELECT folder, largest_file_size_bytes FROM flarge""")
+def largest_file(spark, sf):
+    n, _ = parts(spark, sf)
+    return folders.largest_file(_sized(n)).select("folder", "largest_file_size_bytes")
+
+
+@query("folder_metrics", FOLDERS + FDEPTH + FCYCLES + FTOUCH + """
+SELECT folder, total_files, total_imports, max_import_depth, total_cycles, largest_scc_size,
+       external_node_count, round(external_edges / (total_imports + external_edges), 6) AS external_edges_ratio
+FROM (SELECT folder, count(*) AS total_files, (SELECT count(*) FROM fe WHERE fe.folder = fm.folder)
+      AS total_imports FROM fm GROUP BY 1)
+JOIN fdepth USING (folder) JOIN fcyc USING (folder) JOIN ftouch USING (folder)""")
+def folder_metrics(spark, sf):
+    n, e = parts(spark, sf)
+    return folders.folder_metrics(_sized(n), e).select(
+        "folder", "total_files", "total_imports", "max_import_depth", "total_cycles", "largest_scc_size",
+        "external_node_count", F.round("external_edges_ratio", 6).alias("external_edges_ratio"))
+
+
+@query("group_by_folder", PARTS + """SELECT 'src/d' || (id % 7) || '/e' || (id % 3) AS folder,
+  count(*) AS files FROM n WHERE node_type <> 'external' GROUP BY 1""")
+def group_by_folder(spark, sf):
+    return folders.group_by_folder(parts(spark, sf)[0]).drop("repo")
+
+
+COLLAPSE = PARTS + """,
+v AS (SELECT id, CASE WHEN node_type <> 'external' AND id % 7 < 2 THEN
+  'cluster:src/d' || (id % 7) || '/e' || (id % 3) ELSE CAST(id AS VARCHAR) END AS view FROM n),
+ce AS (SELECT a.view AS source, b.view AS target, count(*) AS count, 2 * count(*) AS lines,
+       sum(line_1 + line_2)::BIGINT AS line_sum
+       FROM e JOIN v a ON a.id = source JOIN v b ON b.id = target GROUP BY 1, 2)"""
+
+
+def _collapsed(spark, sf):
+    n, e = parts(spark, sf)
+    hidden = n.where("node_type <> 'external' AND id % 7 < 2").select(
+        "repo", P.folder_path("file_path").alias("folder")).distinct()
+    return folders.collapse_folders(n, e, hidden)
+
+
+@query("collapse_folders", COLLAPSE + "SELECT source, target, count, lines, line_sum FROM ce")
+def collapse_folders(spark, sf):
+    return _collapsed(spark, sf)[1].select(
+        "source", "target", "count", F.size("line_numbers").alias("lines"),
+        F.aggregate("line_numbers", F.lit(0).cast("long"), lambda a, x: a + x).alias("line_sum"))
+
+
+@query("collapse_nodes", COLLAPSE + """SELECT view AS id, count(*) AS node_count,
+  CASE WHEN view LIKE 'cluster:%' THEN regexp_extract(view, '[^/]*$') END AS label FROM v GROUP BY 1, 3""")
+def collapse_nodes(spark, sf):
+    return _collapsed(spark, sf)[0].select("id", "node_count", "label")
+
+
+@query("degree_view", COLLAPSE + """SELECT id, count(*) AS degree FROM (
+  SELECT source AS id FROM ce UNION ALL SELECT target FROM ce) GROUP BY 1""")
+def degree_view(spark, sf):
+    return folders.degree_view(_collapsed(spark, sf)[1]).drop("repo")
+
+
+@query("folder_rollup", PARTS + """
+SELECT path, max(name) AS name, max(depth) AS depth, bool_or(d) AS is_dir, count(*) AS files FROM (
+  SELECT 'src/d' || (id % 7) AS path, 'd' || (id % 7) AS name, 2 AS depth, true AS d FROM n
+  WHERE node_type = 'module'
+  UNION ALL SELECT 'src/d' || (id % 7) || '/e' || (id % 3), 'e' || (id % 3), 3, true FROM n
+  WHERE node_type = 'module'
+  UNION ALL SELECT file_path, label, 4, false FROM n WHERE node_type = 'module') GROUP BY 1""")
+def folder_rollup(spark, sf):
+    return folders.folder_rollup(parts(spark, sf)[0]).drop("repo")
+
+
+@query("view_filter", PARTS + """,
+inn AS (SELECT id FROM n WHERE node_type <> 'external' AND id % 7 = 3),
+ext AS (SELECT id FROM n WHERE external_kind = 'stdlib' AND (
+  id IN (SELECT target FROM e WHERE source IN (SELECT id FROM inn))
+  OR id IN (SELECT source FROM e WHERE target IN (SELECT id FROM inn)))),
+keep AS (SELECT id FROM inn UNION SELECT id FROM ext)
+SELECT source, target FROM e WHERE source IN (SELECT id FROM keep) AND target IN (SELECT id FROM keep)""")
+def view_filter(spark, sf):
+    return folders.view_filter(*parts(spark, sf), "src/d3", stdlib=True, packages=False)[1].select(
+        "source", "target")
+
+
+@query("external_usage", PARTS + """,
+u AS (SELECT id, external_kind AS kind,
+  (SELECT count(*) FROM e WHERE target = id AND source % 10 <> 0) AS usage FROM n WHERE node_type = 'external')
+SELECT *, (SELECT sum(usage)::BIGINT FROM u) AS total_usage FROM u""")
+def external_usage(spark, sf):
+    return explore.external_usage(*parts(spark, sf)).drop("repo")
+
+
+@query("neighbours", PARTS + """,
+x AS (SELECT source AS id, 'out' AS direction, target AS peer, import_type FROM e WHERE source % 100 = 3
+      UNION ALL SELECT target, 'in', source, import_type FROM e WHERE target % 100 = 3)
+SELECT x.*, node_type AS peer_type FROM x JOIN n ON n.id = peer WHERE x.id IN (3, 103, 203, 303, 403)""")
+def neighbours(spark, sf):
+    return explore.neighbours(*parts(spark, sf), [3, 103, 203, 303, 403]).drop("repo", "line_numbers")
+
+
+@query("node_search", PARTS + """SELECT id, label FROM n
+WHERE contains(lower(label), 'p12') OR contains(lower(file_path), 'p12') ORDER BY id LIMIT 20""")
+def node_search(spark, sf):
+    return explore.node_search(parts(spark, sf)[0], "P12 ").select("id", "label")
+
+
+@query("node_list", PARTS + """SELECT id, label, import_count FROM deg
+WHERE (node_type <> 'external' OR external_kind = 'package') AND contains(file_path, '5')""")
+def node_list(spark, sf):
+    n, e = parts(spark, sf)
+    full = n.join(build.degrees(n, e), ["repo", "id"])
+    return explore.node_list(full, "5", packages=True, sort="import_count", ascending=False).select(
+        "id", "label", "import_count")
+
+
+@query("heat", PARTS + """SELECT id, round((import_count - lo) / (hi - lo), 9) AS heat FROM deg,
+  (SELECT min(import_count) AS lo, max(import_count) AS hi FROM deg WHERE node_type <> 'external')
+WHERE node_type <> 'external'""")
+def heat(spark, sf):
+    n, e = parts(spark, sf)
+    full = n.join(build.degrees(n, e), ["repo", "id"])
+    return explore.heat(full, "import_count").select("id", F.round("heat", 9).alias("heat"))
+
+
+ROLES = PARTS + """, rn AS (SELECT *, id % 17 = 0 AS cyc, (id % 20) / 200.0 AS pr, (id % 11) / 250.0 AS bet
+  FROM deg)"""
+
+
+def _roles(spark, sf):
+    n, e = parts(spark, sf)
+    i = F.col("id")
+    return n.join(build.degrees(n, e), ["repo", "id"]).withColumn(
+        "cycle_count", (i % 17 == 0).cast("long")).withColumn("pagerank", (i % 20) / 200.0).withColumn(
+        "betweenness", (i % 11) / 250.0)
+
+
+@query("module_roles", ROLES + """SELECT id, concat_ws(',',
+  CASE WHEN imported_by_count = 0 AND node_type <> 'external' THEN 'Entry point' END,
+  CASE WHEN import_count = 0 AND node_type <> 'external' THEN 'Leaf' END,
+  CASE WHEN cyc THEN 'In cycles' END, CASE WHEN imported_by_count >= 5 THEN 'Hub' END) AS roles FROM rn""")
+def module_roles(spark, sf):
+    return _roles(spark, sf).select("id", F.array_join(explore.module_roles(), ",").alias("roles"))
+
+
+@query("impact_text", ROLES + """SELECT id, CASE WHEN node_type = 'external' THEN NULL
+  WHEN import_count = 0 AND imported_by_count = 0 THEN 'Isolated — no imports or dependents.'
+  WHEN import_count = 0 THEN 'Leaf — no outgoing imports.'
+  WHEN imported_by_count = 0 THEN 'Entry point — nothing imports this.'
+  WHEN cyc AND pr >= 0.05 THEN 'In cycles and high impact — refactor may affect many modules.'
+  WHEN cyc THEN 'Participates in circular dependencies.'
+  WHEN pr >= 0.05 AND bet >= 0.02 THEN 'High impact and bridge — many depend on this; lies on key paths.'
+  WHEN pr >= 0.05 THEN 'High impact — many modules depend on this.'
+  WHEN bet >= 0.02 THEN 'Bridge — lies on many shortest paths between modules.' END AS text FROM rn""")
+def impact_text(spark, sf):
+    return _roles(spark, sf).select("id", explore.impact_text().alias("text"))
+
+
+@query("nodes_by_type", PARTS + "SELECT id, external_kind FROM n WHERE node_type = 'external'")
+def nodes_by_type(spark, sf):
+    return explore.nodes_by_type(parts(spark, sf)[0], "external").select("id", "external_kind")
+
+
+@query("nodes_by_language", PARTS + "SELECT id, file_path FROM n WHERE node_type <> 'external'")
+def nodes_by_language(spark, sf):
+    return explore.nodes_by_language(parts(spark, sf)[0], "python").select("id", "file_path")
+
+
+@query("node_by_id", PARTS + "SELECT id, label, node_type FROM n WHERE id = (SELECT min(id) FROM n)")
+def node_by_id(spark, sf):
+    n, _ = parts(spark, sf)
+    return explore.node_by_id(n, n.agg(F.min("id")).first()[0]).select("id", "label", "node_type")
+
+
+# --- snapshots ------------------------------------------------------------------------------
+
+def _counted(snapshot):
+    n, e = snapshot
+    d = build.degrees(n, e)
+    # a rank that moves with the degree stands in for the score
+    return d.withColumn("pagerank", F.col("imported_by_count") / 100.0)
+
+
+DIFF = SNAPSHOTS + """,
+dn AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed'
+    WHEN a.import_count = b.import_count AND a.imported_by_count = b.imported_by_count THEN 'unchanged'
+    ELSE 'modified' END AS change_type, a.import_count AS import_count_from, b.import_count AS import_count_to,
+    a.imported_by_count AS f, b.imported_by_count AS t
+  FROM s1_n a FULL JOIN s2_n b ON b.id = a.id),
+de AS (SELECT coalesce(a.source, b.source) AS source, coalesce(a.target, b.target) AS target,
+    CASE WHEN a.source IS NULL THEN 'added' WHEN b.source IS NULL THEN 'removed' ELSE 'unchanged' END AS change_type
+  FROM s1 a FULL JOIN s2 b ON b.source = a.source AND b.target = a.target)"""
+
+
+@query("diff_nodes", DIFF + """SELECT id, change_type, import_count_from, import_count_to,
+  CASE WHEN change_type = 'modified' THEN import_count_to - import_count_from END AS import_count_diff,
+  CASE WHEN change_type = 'modified' THEN t - f END AS imported_by_count_diff,
+  CASE WHEN change_type = 'modified' THEN round((t - f) / 100.0, 6) END AS pagerank_diff FROM dn""")
+def diff_nodes(spark, sf):
+    a, b = snapshots(spark, sf)
+    return compare.diff_nodes(_counted(a), _counted(b)).select(
+        "id", "change_type", "import_count_from", "import_count_to", "import_count_diff",
+        "imported_by_count_diff", F.round("pagerank_diff", 6).alias("pagerank_diff"))
+
+
+@query("diff_edges", DIFF + "SELECT * FROM de")
+def diff_edges(spark, sf):
+    a, b = snapshots(spark, sf)
+    return compare.diff_edges(a[1], b[1]).drop("repo")
+
+
+def _shape_sql(name: str) -> str:
+    """Shape metrics of one snapshot as CTE ``<name>_shape``."""
+    return f""",
+{name}_w(id, other) AS (
+  SELECT id, id FROM {name}_n
+  UNION SELECT w.id, x.b FROM {name}_w w JOIN {name}_u x ON x.a = w.other),
+{name}_comp AS (SELECT id, min(other) AS c FROM {name}_w GROUP BY 1),
+{name}_tri AS (SELECT x.a AS id, count(*) / 2 AS t FROM {name}_u x JOIN {name}_u y ON y.a = x.b
+               JOIN {name}_u z ON z.a = y.b AND z.b = x.a WHERE y.b <> x.a GROUP BY 1),
+{name}_ud AS (SELECT a AS id, count(*) AS d FROM {name}_u GROUP BY 1),
+{name}_shape AS (
+  SELECT (SELECT count(*) FROM {name}_n) AS total_nodes, (SELECT count(*) FROM {name}) AS total_edges,
+    (SELECT round_even(avg(import_count + imported_by_count), 4) FROM {name}_n) AS avg_degree,
+    (SELECT max(import_count + imported_by_count) FROM {name}_n) AS max_degree,
+    (SELECT round_even((SELECT count(*) FROM {name}) / (count(*) * (count(*) - 1)), 4) FROM {name}_n) AS density,
+    (SELECT count(DISTINCT c) FROM {name}_comp) AS num_components,
+    (SELECT round_even(sum(coalesce(2 * t / (d * (d - 1)), 0)) / (SELECT count(*) FROM {name}_n), 6)
+     FROM {name}_ud LEFT JOIN {name}_tri USING (id) WHERE d > 1) AS avg_clustering)"""
+
+
+def _und(name: str) -> str:
+    return f""",
+{name}_u AS (SELECT source AS a, target AS b FROM {name} WHERE source <> target
+             UNION SELECT target, source FROM {name} WHERE source <> target)"""
+
+
+SHAPE = SNAPSHOTS + _und("s1") + _und("s2") + _shape_sql("s1") + _shape_sql("s2")
+SHAPE_NAMES = ["total_nodes", "total_edges", "avg_degree", "max_degree", "density", "num_components",
+               "avg_clustering"]
+
+
+@query("graph_shape", SHAPE + "SELECT *, num_components = 1 AS is_connected FROM s1_shape")
+def graph_shape(spark, sf):
+    return compare.graph_shape(*snapshots(spark, sf)[0]).drop("repo")
+
+
+DMETRICS = SHAPE + ", dm AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, CAST(a.{m} AS DOUBLE) AS value_1, CAST(b.{m} AS DOUBLE) AS value_2 "
+    "FROM s1_shape a, s2_shape b" for m in SHAPE_NAMES) + ")"
+
+
+def _shape_diff(spark, sf):
+    a, b = snapshots(spark, sf)
+    return compare.diff_metrics(compare.graph_shape(*a), compare.graph_shape(*b), SHAPE_NAMES)
+
+
+@query("diff_metrics", DMETRICS + """SELECT metric, value_1, value_2, round(value_2 - value_1, 6) AS change,
+  CASE WHEN value_1 <> 0 THEN round((value_2 - value_1) / value_1 * 100, 4) END AS change_percent,
+  coalesce(abs((value_2 - value_1) / nullif(value_1, 0) * 100) > 10, false) AS significant FROM dm""")
+def diff_metrics(spark, sf):
+    return _shape_diff(spark, sf).drop("repo").withColumn("change", F.round("change", 6)).withColumn(
+        "change_percent", F.round("change_percent", 4))
+
+
+@query("diff_summary", DMETRICS.replace(", dm AS", ", " + DIFF[len(SNAPSHOTS):].strip().lstrip(",") + ", dm AS") + """
+SELECT nodes_added, nodes_removed, nodes_modified, nodes_unchanged, edges_added, edges_removed,
+  edges_unchanged, nodes_added + nodes_removed + nodes_modified AS nodes_total_change,
+  edges_added + edges_removed AS edges_total_change,
+  (SELECT coalesce(string_agg(metric, ',' ORDER BY metric), '') FROM dm
+   WHERE abs((value_2 - value_1) / nullif(value_1, 0) * 100) > 10) AS significant_changes
+FROM (SELECT count(*) FILTER (change_type = 'added') AS nodes_added,
+        count(*) FILTER (change_type = 'removed') AS nodes_removed,
+        count(*) FILTER (change_type = 'modified') AS nodes_modified,
+        count(*) FILTER (change_type = 'unchanged') AS nodes_unchanged FROM dn),
+     (SELECT count(*) FILTER (change_type = 'added') AS edges_added,
+        count(*) FILTER (change_type = 'removed') AS edges_removed,
+        count(*) FILTER (change_type = 'unchanged') AS edges_unchanged FROM de)""")
+def diff_summary(spark, sf):
+    a, b = snapshots(spark, sf)
+    got = compare.diff_summary(compare.diff_nodes(_counted(a), _counted(b)),
+                               compare.diff_edges(a[1], b[1]), _shape_diff(spark, sf))
+    return got.drop("repo").withColumn("significant_changes", F.array_join("significant_changes", ","))
+
+
+@query("quick_compare", DIFF + """,
+t AS (SELECT (SELECT count(*) FROM s1_n WHERE node_type <> 'external') AS f1,
+  (SELECT count(*) FROM s2_n WHERE node_type <> 'external') AS f2, (SELECT count(*) FROM s1) AS e1,
+  (SELECT count(*) FROM s2) AS e2)
+SELECT f1 AS total_files_before, f2 AS total_files_after, f2 - f1 AS total_files_change,
+  e2 - e1 AS total_imports_change, a AS added_nodes, r AS removed_nodes, ea AS added_edges, er AS removed_edges,
+  abs(a - r) + abs(ea - er) AS impact_score, false AS improvement FROM t,
+  (SELECT count(*) FILTER (change_type = 'added') AS a, count(*) FILTER (change_type = 'removed') AS r FROM dn),
+  (SELECT count(*) FILTER (change_type = 'added') AS ea, count(*) FILTER (change_type = 'removed') AS er FROM de)
+""")
+def quick_compare(spark, sf):
+    a, b = snapshots(spark, sf)
+    light = [metrics.metrics_report(*x, level="light").withColumnRenamed(
+        "total_cycles", "circular_dependencies") for x in (a, b)]
+    return compare.quick_compare(*a, *b, *light).select(
+        "total_files_before", "total_files_after", "total_files_change", "total_imports_change",
+        "added_nodes", "removed_nodes", "added_edges", "removed_edges", "impact_score", "improvement")
+
+
+# --- snapshot store -------------------------------------------------------------------------
+
+def _store(spark, sf):
+    root = Stage(spark, "store").root
+    a, b = snapshots(spark, sf)
+    for name, (n, e) in (("before", a), ("after", b)):
+        out_store.save_analysis(root, name, {"nodes": n, "edges": e}, fingerprint=f"fp-{name}")
+    return root
+
+
+@query("save_analysis", SNAPSHOTS + """SELECT 'after' AS analysis_id, source, target FROM s2
+UNION ALL SELECT 'before', source, target FROM s2""")
+def save_analysis(spark, sf):
+    root = _store(spark, sf)
+    n, e = snapshots(spark, sf)[1]
+    out_store.save_analysis(root, "before", {"nodes": n, "edges": e})
+    return spark.read.parquet(f"{root}/edges").select("analysis_id", "source", "target")
+
+
+@query("load_analysis", SNAPSHOTS + "SELECT id, node_type FROM s1_n")
+def load_analysis(spark, sf):
+    return in_store.load_analysis(spark, _store(spark, sf), "before").select("id", "node_type")
+
+
+@query("recent_analyses", SNAPSHOTS + """SELECT 'after' AS analysis_id, (SELECT count(*) FROM s2_n) AS nodes,
+  (SELECT count(*) FROM s2) AS edges""")
+def recent_analyses(spark, sf):
+    root = _store(spark, sf)
+    read = lambda t: spark.read.parquet(f"{root}/{t}")
+    return in_store.recent_analyses(read("analyses"), read("nodes"), read("edges"), 1).drop("saved_at")
+
+
+@query("delete_analysis", SNAPSHOTS + "SELECT 'after' AS analysis_id, count(*) AS edges FROM s2")
+def delete_analysis(spark, sf):
+    root = _store(spark, sf)
+    out_store.delete_analysis(spark, root, "before")
+    return spark.read.parquet(f"{root}/edges").groupBy("analysis_id").agg(
+        F.count(F.lit(1)).alias("edges"))
+
+
+@query("expire_analyses", """SELECT CAST(o_orderkey AS VARCHAR) AS analysis_id FROM orders
+WHERE o_orderdate < now()::TIMESTAMP - INTERVAL 10000 DAY""")
+def expire_analyses(spark, sf):
+    stored = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("analysis_id"), F.col("o_orderdate").alias("saved_at"))
+    return out_store.expired(stored, 10000)
+
+
+@query("store_stats", "SELECT 2 AS entry_count, true AS has_size FROM (SELECT count(*) FROM lineitem)")
+def store_stats(spark, sf):
+    return out_store.store_stats(spark, _store(spark, sf)).select(
+        "entry_count", (F.col("size_mb") > 0).alias("has_size"))
+
+
+# --- graph documents ------------------------------------------------------------------------
+
+def _texts(nodes, edges):
+    return (nodes.withColumn("id", F.col("id").cast("string")),
+            edges.withColumn("source", F.col("source").cast("string")).withColumn(
+                "target", F.col("target").cast("string")))
+
+
+GRAPHML = """
+SELECT '<node id="' || id || '"><data key="d0">' || file_path || '</data><data key="d1">' || node_type
+  || '</data>' || coalesce('<data key="d2">' || external_kind || '</data>', '') || '</node>' AS value FROM n
+UNION ALL
+SELECT '<edge source="' || source || '" target="' || target || '"><data key="d3">' || import_type
+  || '</data><data key="d4">' || line_1 || ',' || line_2 || '</data></edge>' FROM e"""
+GEXF = """
+SELECT '<node id="' || id || '" label="' || id || '"><attvalues><attvalue for="0" value="' || file_path
+  || '" /><attvalue for="1" value="' || node_type || '" />'
+  || coalesce('<attvalue for="2" value="' || external_kind || '" />', '') || '</attvalues></node>' AS value FROM n
+UNION ALL
+SELECT '<edge source="' || source || '" target="' || target || '"><attvalues><attvalue for="3" value="'
+  || import_type || '" /><attvalue for="4" value="' || line_1 || ',' || line_2 || '" /></attvalues></edge>' FROM e"""
+
+
+@query("write_graphml", PARTS + GRAPHML)
+def write_graphml(spark, sf):
+    return out_docs.graphml_lines(*parts(spark, sf)).where("section IN (1, 3)").select("value")
+
+
+@query("write_gexf", PARTS + GEXF)
+def write_gexf(spark, sf):
+    return out_docs.gexf_lines(*parts(spark, sf)).where("section IN (1, 3)").select("value")
+
+
+@query("write_graph_json", PARTS + """
+SELECT count(*) AS lines, count(*) FILTER (v LIKE ',%') AS with_comma FROM (
+  SELECT CASE WHEN row_number() OVER (ORDER BY CAST(id AS VARCHAR)) > 1 THEN ',' ELSE 'x' END AS v FROM n
+  UNION ALL SELECT CASE WHEN row_number() OVER (ORDER BY source, target) > 1 THEN ',' ELSE 'x' END FROM e
+  UNION ALL SELECT 'x' FROM (SELECT unnest([1, 2, 3])))""")
+def write_graph_json(spark, sf):
+    return out_docs.json_lines(*_texts(*parts(spark, sf))).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.sum(F.col("value").startswith(",").cast("long")).alias("with_comma"))
+
+
+NODES_BACK = """SELECT CAST(id AS VARCHAR) AS id, node_type, file_path, external_kind FROM n"""
+EDGES_BACK = """SELECT CAST(source AS VARCHAR) AS source, CAST(target AS VARCHAR) AS target, import_type,
+  line_1 || ',' || line_2 AS lines FROM e"""
+
+
+def _lines_text(edges):
+    return edges.select("source", "target", "import_type", F.array_join(F.transform(
+        "line_numbers", lambda x: x.cast("string")), ",").alias("lines"))
+
+
+def _round_trip(spark, sf, lines, read, partitions=None):
+    n, e = _texts(*parts(spark, sf))
+    path = Stage(spark, "document").root
+    out_docs.write_lines(lines(n, e), path, partitions)
+    return read(spark, path)
+
+
+@query("read_graph_json", PARTS + EDGES_BACK)
+def read_graph_json(spark, sf):
+    # one part file per repo makes the folder a plain JSON document
+    return _lines_text(_round_trip(spark, sf, out_docs.json_lines, in_docs.read_graph_json, 1)[1])
+
+
+@query("read_graph_lines", PARTS + NODES_BACK)
+def read_graph_lines(spark, sf):
+    path = Stage(spark, "document").root
+    out_docs.write_graph_lines(*_texts(*parts(spark, sf)), path)
+    return in_docs.read_graph_lines(spark, path)[0].select("id", "node_type", "file_path", "external_kind")
+
+
+@query("read_graphml", PARTS + EDGES_BACK)
+def read_graphml(spark, sf):
+    return _lines_text(_round_trip(spark, sf, out_docs.graphml_lines, in_docs.read_graphml)[1])
+
+
+@query("read_gexf", PARTS + NODES_BACK)
+def read_gexf(spark, sf):
+    return _round_trip(spark, sf, out_docs.gexf_lines, in_docs.read_gexf)[0].select(
+        "id", "node_type", "file_path", "external_kind")
+
+
+@query("default_attrs", PARTS + """
+SELECT CAST(id AS VARCHAR) AS id, 'module' AS node_type, CAST(id AS VARCHAR) AS file_path,
+       CASE WHEN external_kind = 'stdlib' AND id IN (SELECT source FROM e) THEN 'stdlib' END AS external_kind FROM n""")
+def default_attrs(spark, sf):
+    n, e = _texts(*parts(spark, sf))
+    none = F.lit(None).cast("string")
+    # only sources are listed, and one of the two kinds is misspelt
+    listed = n.join(e.select("repo", F.col("source").alias("id")).distinct(), ["repo", "id"], "left_semi")
+    bare = listed.select("repo", "id", none.alias("node_type"), none.alias("file_path"), F.when(
+        F.col("external_kind") == "package", "pkg").otherwise(F.col("external_kind")).alias("external_kind"))
+    return in_docs.default_attrs(bare, e)[0].drop("repo")
+
+
+@query("report", PARTS + """,
+m AS (SELECT count(*) FILTER (node_type <> 'external') AS f FROM n)
+SELECT 'parts' AS repo, f AS total_files, (SELECT count(*) FROM e) AS total_imports,
+  (SELECT round_even(avg(import_count), 2) FROM deg WHERE node_type <> 'external') AS avg_imports FROM m""")
+def report(spark, sf):
+    from srcgraph.operators import cycles
+    n, e = parts(spark, sf)
+    rings = cycles.simple_cycles(n, e, MAX_LEN)[0]
+    text = out_report.report(out_report.report_rows(report_of(spark, sf), rings, metrics.isolated(n, e)))
+    return text.select(
+        "repo", F.get_json_object("report", "$.total_files").cast("long").alias("total_files"),
+        F.get_json_object("report", "$.total_imports").cast("long").alias("total_imports"),
+        F.get_json_object("report", "$.statistics.avg_imports_per_file").cast("double").alias("avg_imports"))
+
+
+# --- scalar functions -----------------------------------------------------------------------
+
+RAW_PATH = "(CASE p_partkey % 3 WHEN 0 THEN '\\' || 'Proj\\src\\' WHEN 1 THEN '/proj//src/' ELSE 'other/' END || p_brand)"
+
+
+def _raw(spark, sf):
+    k = F.col("p_partkey")
+    front = F.when(k % 3 == 0, "\\Proj\\src\\").when(k % 3 == 1, "/proj//src/").otherwise("other/")
+    return table(spark, sf, "part").select("p_partkey", F.concat(front, "p_brand").alias("raw"))
+
+
+@query("normalize_path", f"""SELECT p_partkey, regexp_replace(replace({RAW_PATH}, '\\', '/'), '/+', '/', 'g') AS path
+FROM part""")
+def normalize_path(spark, sf):
+    return _raw(spark, sf).select("p_partkey", P.normalize_path("raw").alias("path"))
+
+
+@query("relative_path", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN 'other/' ELSE 'src/' END || p_brand
+  AS path FROM part""")
+def relative_path(spark, sf):
+    return _raw(spark, sf).select("p_partkey", P.relative_path("raw", F.lit("/PROJ/")).alias("path"))
+
+
+@query("is_under_folder", "SELECT p_partkey, p_partkey % 3 = 1 AS inside FROM part")
+def is_under_folder(spark, sf):
+    return _raw(spark, sf).select("p_partkey", P.is_under_folder("raw", F.lit("proj/src")).alias("inside"))
+
+
+@query("normalize_file_key", f"""SELECT p_partkey,
+  ltrim(regexp_replace(replace({RAW_PATH}, '\\', '/'), '/+', '/', 'g'), '/') AS key FROM part""")
+def normalize_file_key(spark, sf):
+    return _raw(spark, sf).select("p_partkey", P.normalize_file_key("raw").alias("key"))
+
+
+PAGE_URL = """
+WITH u AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '\\.git$', ''), '/+$', '') AS c FROM pages),
+x AS (SELECT page_id, url, c, regexp_extract(c, '^([a-z]+)://', 1) AS scheme,
+  lower(regexp_extract(c, '^[a-z]+://([^/?#]*)', 1)) AS host,
+  regexp_replace(regexp_extract(c, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM u),
+norm AS (SELECT page_id, url, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END AS repo_url,
+         scheme, host, path FROM x)
+"""
+
+
+@query("normalize_repo_url", PAGE_URL + "SELECT page_id, repo_url FROM norm")
+def normalize_repo_url(spark, sf):
+    return table(spark, sf, "pages").select(
+        "page_id", urls.normalize_repo_url("url").alias("repo_url"))
+
+
+@query("valid_repo_url", PAGE_URL + """SELECT page_id, scheme = 'https' AND path <> '' AS valid,
+  scheme = 'https' AND path <> '' AND host IN ('therst.example.net', 'example.com') AS listed FROM norm""")
+def valid_repo_url(spark, sf):
+    return table(spark, sf, "pages").select(
+        "page_id", urls.valid_repo_url("url").alias("valid"),
+        urls.valid_repo_url("url", ["therst.example.net", "example.com"]).alias("listed"))
+
+
+@query("repo_cache_id", PAGE_URL + """SELECT page_id,
+  'repo_' || sha256(repo_url || ':default')[1:24] AS default_id,
+  'repo_' || sha256(repo_url || ':main')[1:24] AS main_id FROM norm""")
+def repo_cache_id(spark, sf):
+    return table(spark, sf, "pages").select(
+        "page_id", urls.repo_cache_id("url").alias("default_id"),
+        urls.repo_cache_id("url", F.lit("main")).alias("main_id"))
+
+
+@query("round_half", "SELECT p_partkey, round_even(p_size / 8, 2) AS eighth FROM part")
+def round_half(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.bround(F.col("p_size") / 8, 2).alias("eighth"))
