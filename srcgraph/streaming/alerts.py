@@ -15,6 +15,10 @@ def _chunk(chunk: str):
     return F.window("ts", chunk)["start"]
 
 
+def _micros(ts):
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def alert_for(evals: DataFrame, by: list[str], for_seconds, step_seconds: int = 30,
               chunk: str = "1 day") -> DataFrame:
     """Add ``since`` and ``state`` (inactive, pending, firing, resolved) to evaluations.
@@ -24,7 +28,7 @@ def alert_for(evals: DataFrame, by: list[str], for_seconds, step_seconds: int =
     without a gap; a missing evaluation resets it.  Resolved marks the first calm
     evaluation after a firing one.
     """
-    need = F.col(for_seconds) if isinstance(for_seconds, str) else F.lit(for_seconds)
+    need = (F.col(for_seconds) if isinstance(for_seconds, str) else F.lit(for_seconds)).cast("long")
     carry = [for_seconds] if isinstance(for_seconds, str) else []
     rows = evals.withColumn("chunk", _chunk(chunk))
     inside = Window.partitionBy(*by, "chunk").orderBy("ts")
@@ -47,10 +51,10 @@ def alert_for(evals: DataFrame, by: list[str], for_seconds, step_seconds: int =
         border.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     rows = rows.join(ends, [*by, "chunk"])
     since = F.coalesce("own", "carried")
-    held = lambda t: F.unix_timestamp(t) - F.unix_timestamp(since) >= need
+    held = lambda t: _micros(t) - _micros(since) >= need * 1000000
     state = (
-        F.when(F.col("breach") & held("ts"), "firing").when(F.col("breach"), "pending")
-        .when(linked & held("p_ts"), "resolved").otherwise("inactive"))
+        F.when(F.col("breach") & held(F.col("ts")), "firing").when(F.col("breach"), "pending")
+        .when(linked & held(F.col("p_ts")), "resolved").otherwise("inactive"))
     return rows.select(*by, "ts", "breach", *carry,
                        F.when(F.col("breach"), since).alias("since"), state.alias("state"))
 
@@ -70,9 +74,9 @@ def up_check(samples: DataFrame, by: list[str], max_gap_seconds: int = 60,
     rows = rows.join(head, [*by, "chunk"])
     close = F.coalesce("next_ts", "after") if until is None else F.coalesce(
         "next_ts", "after", F.lit(until).cast("timestamp"))
-    late = F.unix_timestamp("down_until") - F.unix_timestamp("last_seen")
+    late = _micros(F.col("down_until")) - _micros(F.col("last_seen"))
     return rows.select(*by, F.col("ts").alias("last_seen"), close.alias("down_until")).where(
-        late > max_gap_seconds).select(
+        late > max_gap_seconds * 1000000).select(
         *by, "last_seen",
         (F.col("last_seen") + F.make_dt_interval(
             secs=F.lit(max_gap_seconds).cast("decimal(18,6)"))).alias("down_from"), "down_until")
