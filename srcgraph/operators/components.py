@@ -46,15 +46,59 @@ def _spread_min(stage: Stage, labels: DataFrame, links: DataFrame) -> DataFrame:
             return state.select("repo", "id", "label")
 
 
+def _spread_both(stage: Stage, links: DataFrame) -> DataFrame:
+    """Smallest ids that reach each node (``f``) and that it reaches (``b``).
+
+    Both directions move in the same round.  A node also takes the label of its
+    label, so that the rounds do not grow with the length of chains alone.
+    """
+    live = (
+        links.select("repo", F.col("source").alias("id"))
+        .unionByName(links.select("repo", F.col("target").alias("id"))).distinct())
+    state, _ = stage.save(live.select("repo", "id", F.col("id").alias("f"), F.col("id").alias("b"),
+                                      F.lit(True).alias("hot")))
+    kind = state.schema["id"].dataType
+    none = F.lit(None).cast(kind)
+
+    def offer(df: DataFrame, f, b) -> DataFrame:
+        return df.select("repo", "id", f.alias("of"), b.alias("ob"), none.alias("f"), none.alias("b"))
+
+    while True:
+        hot = state.where("hot")
+        down = hot.select("repo", F.col("id").alias("source"), "f").join(
+            links, ["repo", "source"]).withColumnRenamed("target", "id")
+        up = hot.select("repo", F.col("id").alias("target"), "b").join(
+            links, ["repo", "target"]).withColumnRenamed("source", "id")
+        far_f = state.where("f <> id").select("repo", "id", F.col("f").alias("via")).join(
+            state.where("f <> id").select("repo", F.col("id").alias("via"), "f"), ["repo", "via"])
+        far_b = state.where("b <> id").select("repo", "id", F.col("b").alias("via")).join(
+            state.where("b <> id").select("repo", F.col("id").alias("via"), "b"), ["repo", "via"])
+        rows = (
+            state.select("repo", "id", none.alias("of"), none.alias("ob"), "f", "b")
+            .unionByName(offer(down, F.col("f"), none)).unionByName(offer(up, none, F.col("b")))
+            .unionByName(offer(far_f, F.col("f"), none)).unionByName(offer(far_b, none, F.col("b"))))
+        merged = rows.groupBy("repo", "id").agg(*[F.min(c).alias(c) for c in ("of", "ob", "f", "b")])
+        less = lambda o, c: F.coalesce(F.col(o) < F.col(c), F.lit(False))
+        old = state
+        state, got = stage.save(
+            merged.select("repo", "id", F.least("of", "f").alias("f"), F.least("ob", "b").alias("b"),
+                          (less("of", "f") | less("ob", "b")).alias("hot")),
+            hot=F.sum(F.col("hot").cast("long")))
+        stage.drop(old)
+        if not got["hot"]:
+            return state.select("repo", "id", "f", "b")
+
+
 def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``repo, id, scc``: the label is the smallest id of the component.
 
     Rounds of: drop edges whose source has no importer or whose target imports
-    nothing (they lie on no cycle); spread the smallest reaching id forward; from
-    every node that kept its own id, collect backward inside its colour.
+    nothing (they lie on no cycle); find for each node the smallest id that reaches
+    it and the smallest it reaches.  Where both agree the component is known; other
+    components lie inside groups of equal pairs, so only edges inside such a group go
+    to the next round.
     """
-    spark = edges.sparkSession
-    stage = Stage(spark, "scc")
+    stage = Stage(edges.sparkSession, "scc")
     links = edges.select("repo", "source", "target").where("source <> target").distinct()
     links, got = stage.save(links, n=F.count(F.lit(1)))
     found: list[DataFrame] = []
@@ -62,23 +106,16 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         links, got = _trim(stage, links, got["n"])
         if not got["n"]:
             break
-        live = (
-            links.select("repo", F.col("source").alias("id"))
-            .unionByName(links.select("repo", F.col("target").alias("id"))).distinct()
-        )
-        colour = _spread_min(stage, live.withColumn("label", F.col("id")), links)
-        tail = colour.select("repo", F.col("id").alias("source"), F.col("label").alias("ls"))
-        head = colour.select("repo", F.col("id").alias("target"), F.col("label").alias("lt"))
-        inner, _ = stage.save(
-            links.join(tail, ["repo", "source"]).join(head, ["repo", "target"])
-            .where("ls = lt").select("repo", "source", "target"))
-        part = _collect(stage, colour.where("id = label"), reverse(inner))
-        found.append(part)
-        # edges with an end in a finished component, or between colours, lie on no open cycle
-        gone = part.select("repo", "id")
+        both = _spread_both(stage, links)
+        found.append(both.where("f = b").select("repo", "id", F.col("f").alias("label")))
+        rest = both.where("f <> b")
+        tail = rest.select("repo", F.col("id").alias("source"), F.col("f").alias("fs"),
+                           F.col("b").alias("bs"))
+        head = rest.select("repo", F.col("id").alias("target"), F.col("f").alias("ft"),
+                           F.col("b").alias("bt"))
         links, got = stage.save(
-            inner.join(gone.withColumnRenamed("id", "source"), ["repo", "source"], "left_anti")
-            .join(gone.withColumnRenamed("id", "target"), ["repo", "target"], "left_anti"),
+            links.join(tail, ["repo", "source"]).join(head, ["repo", "target"])
+            .where("fs = ft AND bs = bt").select("repo", "source", "target"),
             n=F.count(F.lit(1)))
     base = nodes.select("repo", "id")
     if not found:
@@ -91,7 +128,7 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _trim(stage: Stage, links: DataFrame, n: int) -> tuple[DataFrame, dict]:
-    """Peel edges off the acyclic fringe until a round removes little."""
+    """Peel edges off the acyclic fringe until a round removes less than a tenth."""
     while True:
         has_in = links.select("repo", F.col("target").alias("source")).distinct()
         has_out = links.select("repo", F.col("source").alias("target")).distinct()
@@ -101,29 +138,11 @@ def _trim(stage: Stage, links: DataFrame, n: int) -> tuple[DataFrame, dict]:
             .join(has_out, ["repo", "target"], "left_semi"),
             n=F.count(F.lit(1)))
         stage.drop(old)
-        if not got["n"] or got["n"] > 0.98 * n:
+        if not got["n"] or got["n"] > 0.9 * n:
             return links, got
         n = got["n"]
 
 
-def _collect(stage: Stage, roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Nodes that reach their root inside one colour: ``repo, id, label``."""
-    schema = roots.schema
-    path, got = stage.write(roots, n=F.count(F.lit(1)))
-    paths = [path]
-    while got["n"]:
-        step = (
-            stage.read(schema, paths[-1]).withColumnRenamed("id", "source")
-            .join(links, ["repo", "source"])
-            .select("repo", F.col("target").alias("id"), "label").distinct()
-        )
-        seen = stage.read(schema, *paths).select("repo", "id")
-        path, got = stage.write(step.join(seen, ["repo", "id"], "left_anti"),
-                                n=F.count(F.lit(1)))
-        paths.append(path)
-    return stage.read(schema, *paths)
-
-
 def wcc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weakly connected components: ``repo, id, component`` (smallest id)."""
     stage = Stage(edges.sparkSession, "wcc")
