@@ -90,52 +90,52 @@ def eigenvector(
     stage = Stage(edges.sparkSession, "eigenvector")
     links, _ = stage.save(edges.select("repo", "source", "target").distinct())
     size = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    # y is the value before scaling, x the scaled value of the round before
+    start = F.lit(1.0) / F.col("n")
     state, _ = stage.save(
         nodes.select("repo", "id").join(size, "repo")
-        .select("repo", "id", (F.lit(1.0) / F.col("n")).alias("x"),
-                F.lit(None).cast("double").alias("err")))
+        .select("repo", "id", start.alias("y"), F.lit(None).cast("double").alias("x")))
     schema = state.schema
 
-    def verdict(s: DataFrame) -> DataFrame:
-        small = F.lit(False) if tol is None else F.sum("err") < F.count(F.lit(1)) * F.lit(tol)
-        return s.groupBy("repo").agg(F.coalesce(small, F.lit(False)).alias("done"))
+    def scaled(s: DataFrame) -> DataFrame:
+        """Unit-length values and whether the repo has converged."""
+        norm = s.groupBy("repo").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
+        first = F.col("x").isNull()  # the start vector is used as it is
+        now = s.join(norm, "repo").select("repo", "id", "x", F.when(
+            first, F.col("y")).otherwise(F.col("y") / F.when(F.col("norm") == 0, 1.0)
+                                         .otherwise(F.col("norm"))).alias("now"))
+        small = F.lit(False) if tol is None else (
+            F.sum(F.abs(F.col("now") - F.col("x"))) < F.count(F.lit(1)) * F.lit(tol))
+        done = now.groupBy("repo").agg(F.coalesce(small, F.lit(False)).alias("done"))
+        return now.join(done, "repo").select("repo", "id", F.col("now").alias("x"), "done")
 
-    got = {"open": 1}
     for _ in range(max_iter):
+        at = scaled(state)
         gain = links.join(
-            state.select("repo", F.col("id").alias("target"), F.col("x").alias("part")),
+            at.select("repo", F.col("id").alias("target"),
+                      F.when(F.col("done"), 0.0).otherwise(F.col("x")).alias("part")),
             ["repo", "target"],
-        ).select("repo", F.col("source").alias("id"), "part", F.lit(0.0).alias("x"))
-        kept = state.select("repo", "id", F.lit(0.0).alias("part"), "x")
+        ).select("repo", F.col("source").alias("id"), "part", F.lit(0.0).alias("x"),
+                 F.lit(True).alias("done"))
+        kept = at.select("repo", "id", F.lit(0.0).alias("part"), "x", "done")
         merged = gain.unionByName(kept).groupBy("repo", "id").agg(
-            F.sum("part").alias("part"), F.max("x").alias("x"))
-        raw, _ = stage.save(
-            merged.join(verdict(state), "repo")
-            .select("repo", "id", "x", "done",
-                    F.when(F.col("done"), F.col("x")).otherwise(F.col("x") + F.col("part"))
-                    .alias("y")))
-        norm = raw.groupBy("repo").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-        y = F.when(F.col("done"), F.col("x")).otherwise(
-            F.col("y") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")))
+            F.sum("part").alias("part"), F.max("x").alias("x"), F.min("done").alias("done"))
         old = state
         state, got = stage.save(
-            raw.join(norm, "repo").select(
-                "repo", "id", y.alias("x"), F.abs(y - F.col("x")).alias("err"), "done"),
+            merged.select("repo", "id", (F.col("x") + F.col("part")).alias("y"), "x", "done"),
             schema, open=F.sum((~F.col("done")).cast("long")))
         stage.drop(old)
-        stage.drop(raw)
         if not got["open"]:
             break
+    last = scaled(state)
     if tol is None:
-        return state.select("repo", "id", F.col("x").alias("eigenvector"),
-                            F.lit(None).cast("boolean").alias("converged"))
-    fallback = indegree_centrality(nodes, edges)
-    return (
-        state.join(verdict(state), "repo").join(fallback, ["repo", "id"])
-        .select("repo", "id",
-                F.when(F.col("done"), F.col("x")).otherwise(F.col("indegree_centrality"))
-                .alias("eigenvector"),
-                F.col("done").alias("converged")))
+        return last.select("repo", "id", F.col("x").alias("eigenvector"),
+                           F.lit(None).cast("boolean").alias("converged"))
+    return last.join(indegree_centrality(nodes, edges), ["repo", "id"]).select(
+        "repo", "id",
+        F.when(F.col("done"), F.col("x")).otherwise(F.col("indegree_centrality"))
+        .alias("eigenvector"),
+        F.col("done").alias("converged"))
 
 
 def indegree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -510,17 +510,17 @@ def _lines_text(edges):
         "line_numbers", lambda x: x.cast("string")), ",").alias("lines"))
 
 
-def _round_trip(spark, sf, lines, read, partitions=None):
+def _round_trip(spark, sf, lines, read):
     n, e = _texts(*parts(spark, sf))
     path = Stage(spark, "document").root
-    out_docs.write_lines(lines(n, e), path, partitions)
+    out_docs.write_lines(lines(n, e, 1000), path)  # several documents
     return read(spark, path)
 
 
 @query("read_graph_json", PARTS + EDGES_BACK)
 def read_graph_json(spark, sf):
-    # one part file per repo makes the folder a plain JSON document
-    return _lines_text(_round_trip(spark, sf, out_docs.json_lines, in_docs.read_graph_json, 1)[1])
+    return _lines_text(_round_trip(spark, sf, lambda n, e, k: out_docs.json_lines(n, e, None, k),
+                                   in_docs.read_graph_json)[1])
 
 
 @query("read_graph_lines", PARTS + NODES_BACK)

@@ -1,8 +1,8 @@
 """Graph export: JSON, GraphML and GEXF documents as ordered text lines.
 
-A document is a sequence of lines (head, nodes, edges, tail) sorted by
-(repo, section, key) across the output files, so a graph of any size is written
-in parallel; the part files of a repo in name order are the document.
+A graph of ordinary size is one document per repo.  A larger one becomes several
+documents, each well formed and of bounded size, with its nodes and edges spread
+over them by hash; readers take all documents of a repo together.
 """
 
 from __future__ import annotations
@@ -28,22 +28,32 @@ def _joined_lines(edges: DataFrame) -> Column:
     return F.array_join(F.transform("line_numbers", lambda x: x.cast("string")), ",")
 
 
+# rows that one document holds at most (on average)
+ROWS_PER_DOCUMENT = 1_000_000
+
+
 def _document(nodes: DataFrame, edges: DataFrame, node_line: Column, edge_line: Column,
-              head: list[str], middle: list[str], tail: list[str]) -> DataFrame:
-    """Lines with their order: ``repo, section, key, value``."""
-    fixed = F.array(*[
-        F.struct(F.lit(s).alias("section"), F.lit(f"{i:04d}").alias("key"), F.lit(v).alias("value"))
-        for s, lines in ((0, head), (2, middle), (4, tail)) for i, v in enumerate(lines)])
-    frame = nodes.select("repo").distinct().select("repo", F.inline(fixed))
+              head: list[str], middle: list[str], tail: list[str], limit: int) -> DataFrame:
+    """Lines with their place: ``repo, part, section, key, value``."""
     n = nodes.select("repo", F.lit(1).alias("section"), F.col("id").cast("string").alias("key"),
                      node_line.alias("value"))
     e = edges.select("repo", F.lit(3).alias("section"), F.concat_ws(
         "\x00", F.col("source").cast("string"), F.col("target").cast("string")).alias("key"),
         edge_line.alias("value"))
-    return frame.unionByName(n).unionByName(e)
+    sizes = nodes.select("repo").unionByName(edges.select("repo")).groupBy("repo").agg(
+        F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("parts"))
+    body = n.unionByName(e).join(sizes, "repo").select(
+        "repo", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "section", "key",
+        "value")
+    fixed = F.array(*[
+        F.struct(F.lit(s).alias("section"), F.lit(f"{i:04d}").alias("key"), F.lit(v).alias("value"))
+        for s, lines in ((0, head), (2, middle), (4, tail)) for i, v in enumerate(lines)])
+    frame = sizes.select("repo", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+                         ).select("repo", "part", F.inline(fixed))
+    return body.unionByName(frame)
 
 
-def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def graphml_lines(nodes: DataFrame, edges: DataFrame, limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
     def data(key: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f'<data key="{key}">'), escape_xml(value),
                                    F.lit("</data>")), F.lit(""))
@@ -67,10 +77,10 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         '<key id="d4" for="edge" attr.name="line_numbers" attr.type="string" />',
         '<graph edgedefault="directed">',
     ]
-    return _document(nodes, edges, node, edge, head, [], ["</graph>", "</graphml>"])
+    return _document(nodes, edges, node, edge, head, [], ["</graph>", "</graphml>"], limit)
 
 
-def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def gexf_lines(nodes: DataFrame, edges: DataFrame, limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
     def att(key: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f'<attvalue for="{key}" value="'), escape_xml(value),
                                    F.lit('" />')), F.lit(""))
@@ -98,43 +108,40 @@ def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         '<attribute id="4" title="line_numbers" type="string" />', "</attributes>", "<nodes>",
     ]
     return _document(nodes, edges, node, edge, head, ["</nodes>", "<edges>"],
-                     ["</edges>", "</graph>", "</gexf>"])
+                     ["</edges>", "</graph>", "</gexf>"], limit)
 
 
-def json_lines(nodes: DataFrame, edges: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+def json_lines(nodes: DataFrame, edges: DataFrame, metadata: DataFrame | None = None,
+               limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
     """The JSON document; ``metadata`` has ``repo, project_path, total_files, total_imports``."""
     opts = {"ignoreNullFields": "false"}
+
     # the comma leads, so no row needs to know whether it is the last one
     def row(df: DataFrame) -> Column:
         return F.concat(F.lit(',{"data":'), F.to_json(F.struct(*[
             c for c in df.columns if c != "repo"]), opts), F.lit("}"))
 
-    head = ['{"elements":{"nodes":[', "null"]
-    middle = ['],"edges":[', "null"]
-    doc = _document(nodes, edges, row(nodes), row(edges), head, middle, [])
-    doc = doc.where("value <> 'null'")
-    first = doc.where("section IN (1, 3)").groupBy("repo", "section").agg(
-        F.min("key").alias("first"))
-    doc = doc.join(first, ["repo", "section"], "left").withColumn("value", F.when(
-        F.col("key") == F.col("first"), F.substring("value", 2, 1 << 30)).otherwise(F.col("value")))
-    base = nodes.select("repo").distinct()
+    doc = _document(nodes, edges, row(nodes), row(edges), ['{"elements":{"nodes":['], ['],"edges":['],
+                    [']},"metadata":'], limit)
+    place = ["repo", "part", "section"]
+    first = doc.where("section IN (1, 3)").groupBy(*place).agg(F.min("key").alias("first"))
     if metadata is None:
-        meta = base.select("repo", F.lit("{}").alias("m"))
+        meta = nodes.select("repo").distinct().withColumn("meta", F.lit("{}"))
     else:
         meta = metadata.select("repo", F.to_json(F.struct(
-            "project_path", "total_files", "total_imports"), opts).alias("m"))
-    tail = base.join(meta, "repo", "left").select(
-        "repo", F.lit(4).alias("section"), F.lit("0000").alias("key"),
-        F.concat(F.lit(']},"metadata":'), F.coalesce("m", F.lit("{}")), F.lit("}")).alias("value"))
-    return doc.select("repo", "section", "key", "value").unionByName(tail)
-
-
-def write_lines(lines: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Range-partition and sort the lines, one folder per repo."""
-    key = ["repo", "section", "key"]
-    spread = lines.repartitionByRange(*([partitions] if partitions else []), *key)
-    spread.sortWithinPartitions(*key).select("repo", "value").write.mode("overwrite").partitionBy(
-        "repo").text(path)
+            "project_path", "total_files", "total_imports"), opts).alias("meta"))
+    value = (
+        F.when(F.col("section") == 4, F.concat("value", F.coalesce("meta", F.lit("{}")), F.lit("}")))
+        .when(F.col("key") == F.col("first"), F.substring("value", 2, 1 << 30))
+        .otherwise(F.col("value")))
+    return doc.join(first, place, "left").join(meta, "repo", "left").select(
+        *place, "key", value.alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One sorted text file per document: ``repo=<repo>/part=<n>/``."""
+    lines.repartition("repo", "part").sortWithinPartitions("repo", "part", "section", "key").select(
+        "repo", "part", "value").write.mode("overwrite").partitionBy("repo", "part").text(path)
 
 
 def write_graph_lines(nodes: DataFrame, edges: DataFrame, path: str) -> None:

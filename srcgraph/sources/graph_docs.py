@@ -1,7 +1,7 @@
 """Graph documents: JSON, GraphML and GEXF to node and edge tables.
 
-The file name without its suffix is the repo, so a folder of documents is read
-as a portfolio.
+The file name without its suffix, or else a ``repo=`` folder, names the repo, so a
+folder of documents is read as a portfolio.  A document is read by one task.
 """
 
 from __future__ import annotations
@@ -29,7 +29,10 @@ _DOCUMENT = (
 
 
 def _repo() -> Column:
-    return F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.[^.]+$", "")
+    path = F.col("_metadata.file_path")
+    folder = F.url_decode(F.regexp_extract(path, r"/repo=([^/]+)/", 1))
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]+$", "")
+    return F.when(folder != "", folder).otherwise(name)
 
 
 def default_attrs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -238,7 +238,7 @@ def test_analyze_portfolio(spark):
     one = files(spark, {"main.py": "import utils\n", "utils.py": "import os\nimport sys\n"}, "one")
     two = files(spark, {"a.py": "import b\n", "b.py": "import a\nimport numpy\n",
                         "node_modules/x.js": "import './y'\n"}, "two")
-    got = analyze(one.unionByName(two))
+    got = analyze(one.unionByName(two), max_rounds=5)
     m = {r.repo: r for r in got["metrics"].collect()}
     assert (m["one"].total_files, m["one"].external_node_count, m["one"].total_imports) == (2, 2, 3)
     assert (m["one"].max_import_depth, m["one"].total_cycles, m["one"].largest_scc_size) == (2, 0, 1)

@@ -76,9 +76,27 @@ def test_pagerank_matches_plain_iteration(spark):
             break
     got = table(spectral.pagerank(n, e), "id", value="pagerank")
     assert all(got[i,] == pytest.approx(x[i], abs=1e-12) for i in range(50))
-    vec = spectral.eigenvector(n, e, 400).collect()
-    assert all(r.converged for r in vec)
-    assert sum(r.eigenvector ** 2 for r in vec) == pytest.approx(1, abs=1e-6)
+
+
+def test_eigenvector_matches_plain_iteration(spark):
+    pairs = sorted({(i, (i + 1) % 12) for i in range(12)} | {(i, (i * 5 + 2) % 12) for i in range(12)})
+    pairs = [p for p in pairs if p[0] != p[1]]
+    n = spark.createDataFrame([("r", i, "module") for i in range(12)], "repo STRING, id INT, node_type STRING")
+    e = spark.createDataFrame([("r", a, b) for a, b in pairs], "repo STRING, source INT, target INT")
+    x = [1 / 12] * 12
+    for _ in range(60):
+        y = list(x)
+        for a, b in pairs:
+            y[a] += x[b]
+        norm = sum(v * v for v in y) ** 0.5
+        y = [v / norm for v in y]
+        err = sum(abs(p - q) for p, q in zip(x, y))
+        x = y
+        if err < 12 * 1e-4:
+            break
+    got = spectral.eigenvector(n, e, 60, 1e-4).collect()
+    assert all(r.converged for r in got)
+    assert all(r.eigenvector == pytest.approx(x[r.id], abs=1e-9) for r in got)
 
 
 def test_unconverged_falls_back(spark):
