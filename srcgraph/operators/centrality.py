@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcgraph.operators.traverse import bfs, reverse
+from srcgraph.operators.traverse import mask_bfs, reverse
 from srcgraph.stage import Stage
 
 
@@ -14,11 +14,7 @@ def _sizes(nodes: DataFrame) -> DataFrame:
 
 
 def closeness(
-    nodes: DataFrame,
-    edges: DataFrame,
-    direction: str = "out",
-    max_nodes: int | None = 2000,
-    batches: int = 1,
+    nodes: DataFrame, edges: DataFrame, direction: str = "out", max_nodes: int | None = 2000
 ) -> DataFrame:
     """``repo, id, closeness`` = (r-1)/sum(d) * (r-1)/(N-1) over the r nodes reached.
 
@@ -28,21 +24,23 @@ def closeness(
     links = edges if direction == "out" else reverse(edges)
     sizes = _sizes(nodes)
     small = sizes if max_nodes is None else sizes.where(F.col("n") <= max_nodes)
-    origin = nodes.join(small, "repo").select("repo", F.col("id").alias("origin"), "id")
-    reached = None
-    for b in range(batches):
-        part = origin if batches == 1 else origin.where(
-            F.pmod(F.xxhash64("repo", "origin"), F.lit(batches)) == b)
-        got = bfs(links, part).groupBy("repo", "origin").agg(
-            F.count(F.lit(1)).alias("r"), F.sum("dist").alias("total"))
-        reached = got if reached is None else reached.unionByName(got)
+    levels, number = mask_bfs(links, nodes.join(small, "repo").select("repo", "id"))
+    # nodes per level and origin: one sum per bit, then one row per bit
+    hits = levels.groupBy("repo", "chunk", "dist").agg(*[
+        F.sum(F.shiftright("front", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)])
+    reached = (
+        hits.select("repo", "chunk", "dist", F.posexplode(F.array(*[f"b{i}" for i in range(64)]))
+                    .alias("bit", "c"))
+        .groupBy("repo", "chunk", "bit")
+        .agg(F.sum("c").alias("r"), F.sum(F.col("c") * F.col("dist")).alias("total"))
+        .join(number, ["repo", "chunk", "bit"])
+        .select("repo", F.col("origin").alias("id"), "r", "total"))
     value = F.when(
         (F.col("total") > 0) & (F.col("n") > 1),
         (F.col("r") - 1) / F.col("total") * ((F.col("r") - 1) / (F.col("n") - 1)),
     ).otherwise(0.0)
     return (
-        nodes.select("repo", "id").join(sizes, "repo")
-        .join(reached.withColumnRenamed("origin", "id"), ["repo", "id"], "left")
+        nodes.select("repo", "id").join(sizes, "repo").join(reached, ["repo", "id"], "left")
         .select("repo", "id", F.coalesce(value, F.lit(0.0)).alias("closeness")))
 
 

@@ -159,19 +159,18 @@ def folder_statistics(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFr
         arg("imported_by_count", "label").alias("most_imported_module"),
         F.max("imported_by_count").alias("most_imported_count"))
 
-    def top(column: str, name: str, scaled: bool) -> DataFrame:
+    def top(column: str, name: str) -> DataFrame:
         order = Window.partitionBy(*key).orderBy(F.col(column).desc(), "id")
         rows = d.where(F.col(column) > 0).withColumn("rn", F.row_number().over(order)).where(
             F.col("rn") <= n)
-        value = F.col("v") if not scaled else F.col("v")
         return rows.groupBy(*key).agg(F.transform(
             F.array_sort(F.collect_list(F.struct("rn", "label", F.col(column).alias("v")))),
             lambda x: F.struct(x["label"].alias("module"), x["v"].alias("count"))).alias(name))
 
     possible = F.col("total_files") * (F.col("total_files") - 1)
     return reduce(lambda a, b: a.join(b, key, "left"), [
-        base, top("import_count", "top_importers", False),
-        top("imported_by_count", "top_imported", False)]
+        base, top("import_count", "top_importers"),
+        top("imported_by_count", "top_imported")]
     ).withColumn("graph_density", F.when(
         F.col("total_files") > 1, F.col("total_imports") / possible).otherwise(0.0)
     ).withColumn("hub_modules", F.transform("top_imported", lambda x: F.struct(
@@ -200,12 +199,13 @@ def group_by_folder(nodes: DataFrame) -> DataFrame:
 
 
 def collapse_folders(
-    nodes: DataFrame, edges: DataFrame, collapsed: DataFrame
+    nodes: DataFrame, edges: DataFrame, collapsed: DataFrame, lines: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Replace the nodes of the collapsed folders (``repo, folder``) by cluster nodes.
 
     Parallel edges merge with their count and all line numbers; an edge inside one
-    collapsed folder stays as a self edge of its cluster.
+    collapsed folder stays as a self edge of its cluster.  ``lines=False`` leaves
+    out the line numbers, whose list grows with the edges of a cluster pair.
     """
     folder = F.when(F.col("node_type") != "external", folder_path("file_path"))
     flag = collapsed.select("repo", "folder").distinct().withColumn("hit", F.lit(True))
@@ -224,12 +224,13 @@ def collapse_folders(
                    ["repo", "source"])
         .join(named.select("repo", F.col("id").alias("target"), F.col("view").alias("vt")),
               ["repo", "target"]))
+    listed = F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("source", "target", "line_numbers"))),
+        lambda x: x["line_numbers"])).alias("line_numbers")
     merged = ends.groupBy("repo", F.col("vs").alias("source"), F.col("vt").alias("target")).agg(
         F.count(F.lit(1)).alias("count"),
         F.min_by("import_type", F.struct("source", "target")).alias("import_type"),
-        F.flatten(F.transform(
-            F.array_sort(F.collect_list(F.struct("source", "target", "line_numbers"))),
-            lambda x: x["line_numbers"])).alias("line_numbers"))
+        *([listed] if lines else []))
     return view, merged
 
 

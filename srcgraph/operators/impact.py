@@ -149,9 +149,9 @@ def match_target(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     pool = nodes.select("repo", "id", text.alias("text"),
                         F.coalesce(F.col("file_path"), text).alias("file_path"))
     ask = wanted.select("repo", "argument").distinct()
-    # one row per distinct argument length, at most the longest path
-    sizes = ask.agg(F.collect_set(F.length("argument")).alias("sizes"))
-    ends = pool.join(F.broadcast(sizes)).select("repo", "id", F.explode(F.transform(
+    # the distinct argument lengths of a repo, no more than the longest path has characters
+    sizes = ask.groupBy("repo").agg(F.collect_set(F.length("argument")).alias("sizes"))
+    ends = pool.join(sizes, "repo").select("repo", "id", F.explode(F.transform(
         F.filter("sizes", lambda n: n <= F.length("text")), lambda n: F.right("text", n)))
         .alias("argument"))
     whole = pool.select("repo", "id", F.col("file_path").alias("argument"))

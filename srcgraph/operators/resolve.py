@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.functions.languages import FAMILY_OF_EXT, lookup
 from srcgraph.functions.paths import drop_extension, extension, folder_path, join_path, resolve_dots
+from srcgraph.stage import Stage
 
 # fixed values: order in which script suffixes are tried
 JS_SUFFIXES = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
@@ -253,6 +254,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame, configs: DataFrame) ->
     ).withColumn("folder", F.when(
         _local(F.col("lang"), F.col("imported_module")), folder_path("source_file")
     ).otherwise(""))
+    # read twice below; written once, so that the extraction behind it runs once
+    asked, _ = Stage(imports.sparkSession, "imports").save(asked)
     questions = asked.select("repo", "lang", "folder", "imported_module").distinct()
     none = F.array().cast("array<struct<alias:string,target:string>>")
     cfg = {

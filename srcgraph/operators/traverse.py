@@ -33,19 +33,61 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = -1) -> DataFrame:
     paths, depth = [path], 0
     while got["n"] and (max_depth < 0 or depth < max_depth):
         depth += 1
-        frontier = stage.read(schema, paths[-1]).select(*keys, F.col("id").alias("source"))
-        step = (
-            frontier.join(links, ["repo", "source"])
-            .select(*keys, F.col("target").alias("id"))
-            .distinct()
-        )
-        seen = stage.read(schema, *paths).select(*keys, "id")
-        level = step.join(seen, [*keys, "id"], "left_anti").withColumn("dist", F.lit(depth))
+        frontier = stage.read(schema, path).select(*keys, F.col("id").alias("source"))
+        step = frontier.join(links, ["repo", "source"]).select(
+            *keys, F.col("target").alias("id"), F.lit(depth).alias("dist"))
+        # steps and visited rows meet in one aggregation; a node is new if no row is older
+        level = (
+            step.unionByName(stage.read(schema, *paths)).groupBy(*keys, "id")
+            .agg(F.min("dist").alias("dist")).where(F.col("dist") == depth))
         path, got = stage.write(level, n=F.count(F.lit(1)))
-        paths.append(path)
+        paths = stage.compact(schema, [*paths, path])
     return stage.read(schema, *paths)
 
 
+def mask_bfs(edges: DataFrame, origins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first search from many origins, 64 of them per row.
+
+    Origins (``repo, id``) are numbered in the order of their first import, so those
+    that share a neighbourhood share a chunk.  Result: levels ``repo, chunk, id,
+    dist, front`` (a bit per origin that sees the node first at this distance) and
+    the numbering ``repo, origin, chunk, bit``.
+    """
+    stage = Stage(edges.sparkSession, "masks")
+    links = edges.select("repo", "source", "target")
+    first = links.groupBy("repo", F.col("source").alias("id")).agg(F.min("target").alias("first"))
+    order = ["repo", "first", "id"]
+    number, _ = stage.save(
+        origins.select("repo", "id").distinct().join(first, ["repo", "id"], "left")
+        .repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("m", F.monotonically_increasing_id())
+        .select("repo", F.col("id").alias("origin"), F.shiftright("m", 6).alias("chunk"),
+                F.pmod("m", F.lit(64)).cast("int").alias("bit")))
+    level = number.select("repo", "chunk", F.col("origin").alias("id"), F.lit(0).alias("dist"),
+                          F.expr("shiftleft(1L, bit)").alias("front"))
+    schema = level.schema
+    path, got = stage.write(level, n=F.count(F.lit(1)))
+    paths, depth = [path], 0
+    none = F.lit(0).cast("long")
+    while got["n"]:
+        depth += 1
+        step = (
+            stage.read(schema, path).select("repo", "chunk", F.col("id").alias("source"), "front")
+            .join(links, ["repo", "source"])
+            .select("repo", "chunk", F.col("target").alias("id"), "front", none.alias("seen")))
+        seen = stage.read(schema, *paths).select(
+            "repo", "chunk", "id", none.alias("front"), F.col("front").alias("seen"))
+        fresh = F.col("front").bitwiseAND(F.bitwise_not("seen"))
+        level = (
+            step.unionByName(seen).groupBy("repo", "chunk", "id")
+            .agg(F.bit_or("front").alias("front"), F.bit_or("seen").alias("seen"))
+            .select("repo", "chunk", "id", F.lit(depth).alias("dist"), fresh.alias("front"))
+            .where("front <> 0"))
+        path, got = stage.write(level, n=F.count(F.lit(1)))
+        paths = stage.compact(schema, [*paths, path])
+    return stage.read(schema, *paths), number
+
+
 def k_hop(edges: DataFrame, targets: DataFrame, depth: int = -1, direction: str = "in") -> DataFrame:
     """Nodes around each target with their distance, the target left out.
 
@@ -74,19 +116,10 @@ def node_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def max_depth(nodes: DataFrame, edges: DataFrame, batches: int = 1) -> DataFrame:
-    """Largest distance from any entry to any node, per repo (0 without entries).
-
-    The search is keyed by entry; ``batches`` splits the entries so that the
-    (entry, node) state of one run stays as small as wanted.
-    """
-    start = entries(nodes, edges).withColumn("origin", F.col("id"))
-    best = None
-    for b in range(batches):
-        part = start.where(F.pmod(F.xxhash64("repo", "origin"), F.lit(batches)) == b)
-        got = bfs(edges, part).groupBy("repo").agg(F.max("dist").alias("d"))
-        best = got if best is None else best.unionByName(got)
-    best = best.groupBy("repo").agg(F.max("d").alias("d"))
+def max_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Largest distance from any entry to any node, per repo (0 without entries)."""
+    levels, _ = mask_bfs(edges, entries(nodes, edges))
+    best = levels.groupBy("repo").agg(F.max("dist").alias("d"))
     return (
         nodes.select("repo").distinct().join(best, "repo", "left")
         .select("repo", F.coalesce("d", F.lit(0)).alias("max_import_depth"))

@@ -233,7 +233,9 @@ def _folder(k: Column) -> Column:
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """The ``files`` table of the corpus, written once per session."""
-    return staged_once(spark, "corpus", sf, lambda: corpus_plan(spark, sf))
+    cores = spark.sparkContext.defaultParallelism
+    # one file per core at least, so that a small corpus is read in parallel too
+    return staged_once(spark, "corpus", sf, lambda: corpus_plan(spark, sf).repartition(cores, "path"))
 
 
 def corpus_plan(spark: SparkSession, sf: str) -> DataFrame:

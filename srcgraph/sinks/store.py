@@ -49,10 +49,11 @@ def expire_analyses(spark: SparkSession, root: str, days: int = 7) -> int:
 
 def store_stats(spark: SparkSession, root: str) -> DataFrame:
     """``entry_count, size_mb`` of a store; only file lengths are read."""
-    entries = spark.read.parquet(f"{root}/analyses").agg(
-        F.countDistinct("analysis_id").alias("entry_count"))
-    size = (
+    entries = spark.read.parquet(f"{root}/analyses").select(
+        "analysis_id", F.lit(0).cast("long").alias("length"))
+    files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .select("length").agg(
-            F.bround(F.coalesce(F.sum("length"), F.lit(0)) / (1024 * 1024), 2).alias("size_mb")))
-    return entries.crossJoin(size)  # one row each
+        .select(F.lit(None).cast("string").alias("analysis_id"), "length"))
+    return entries.unionByName(files).agg(
+        F.countDistinct("analysis_id").alias("entry_count"),
+        F.bround(F.coalesce(F.sum("length"), F.lit(0)) / (1024 * 1024), 2).alias("size_mb"))

@@ -69,6 +69,16 @@ class Stage:
     def read(self, schema, *paths: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def compact(self, schema, paths: list[str]) -> list[str]:
+        """The same rows in one table once there are many small ones.
+
+        Keeps listing cheap (Spark lists more than 32 paths by a job of its own).
+        """
+        if len(paths) < 24:
+            return paths
+        merged, _ = self.write(self.read(schema, *paths))
+        return [merged]
+
     def save(self, df: DataFrame, schema=None, **metrics: Column) -> tuple[DataFrame, dict]:
         """Write and read back (the columns of ``schema``, default all)."""
         path, got = self.write(df, **metrics)

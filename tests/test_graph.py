@@ -35,7 +35,7 @@ def test_chain_and_ring_in_one_run(spark):
     depth = table(traverse.node_depth(n, e), "repo", "id", value="depth")
     assert [depth["chain", i] for i in ("a.py", "b.py", "c.py")] == [0, 1, 2]
     assert [depth["ring", i] for i in "abc"] == [0, 0, 0]
-    assert table(traverse.max_depth(n, e, 2), "repo", value="max_import_depth") == {
+    assert table(traverse.max_depth(n, e), "repo", value="max_import_depth") == {
         ("chain",): 2, ("ring",): 0}
     bet = table(centrality.betweenness(n, e), "repo", "id", value="betweenness")
     assert bet["chain", "b.py"] == pytest.approx(0.5) and bet["chain", "a.py"] == 0
@@ -99,6 +99,24 @@ def test_eigenvector_matches_plain_iteration(spark):
     assert all(r.eigenvector == pytest.approx(x[r.id], abs=1e-9) for r in got)
 
 
+def test_many_origins_match_plain_search(spark):
+    pairs = sorted({(i, (i * 7 + 3) % 150) for i in range(150)} | {(i, i // 3) for i in range(150)})
+    n = spark.createDataFrame([("r", i, "module") for i in range(150)], "repo STRING, id INT, node_type STRING")
+    e = spark.createDataFrame([("r", a, b) for a, b in pairs], "repo STRING, source INT, target INT")
+    outs = {i: [b for a, b in pairs if a == i] for i in range(150)}
+    want = {}
+    for i in range(150):
+        dist, level = {i: 0}, [i]
+        while level:
+            level = sorted({b for a in level for b in outs[a]} - set(dist))
+            dist |= {b: max(dist.values()) + 1 for b in level}
+        total, r = sum(dist.values()), len(dist)
+        want[i] = (r - 1) / total * (r - 1) / 149 if total else 0
+    got = table(centrality.closeness(n, e), "id", value="closeness")
+    assert all(got[i,] == pytest.approx(want[i]) for i in range(150))
+    assert {r.closeness for r in centrality.closeness(n, e, max_nodes=100).collect()} == {0.0}
+
+
 def test_unconverged_falls_back(spark):
     n, e = graph(spark, CHAIN)
     assert {r.pagerank for r in spectral.pagerank(n, e, max_iter=1, tol=1e-12).collect()} == {1 / 3}
