@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from srcgraph.functions import paths as P
 from srcgraph.functions import urls
 from srcgraph.operators import build, compare, explore, folders, metrics
-from srcgraph.plans.queries_graph import MAX_LEN, RANK, ROUNDS, _rank, report_of
+from srcgraph.plans.queries_graph import _rings, report_of
 from srcgraph.plans.registry import query
 from srcgraph.plans.views import CORPUS, PARTS, SNAPSHOTS, corpus, parts, snapshots, table
 from srcgraph.sinks import graph_docs as out_docs
@@ -559,10 +559,9 @@ m AS (SELECT count(*) FILTER (node_type <> 'external') AS f FROM n)
 SELECT 'parts' AS repo, f AS total_files, (SELECT count(*) FROM e) AS total_imports,
   (SELECT round_even(avg(import_count), 2) FROM deg WHERE node_type <> 'external') AS avg_imports FROM m""")
 def report(spark, sf):
-    from srcgraph.operators import cycles
     n, e = parts(spark, sf)
-    rings = cycles.simple_cycles(n, e, MAX_LEN)[0]
-    text = out_report.report(out_report.report_rows(report_of(spark, sf), rings, metrics.isolated(n, e)))
+    text = out_report.report(out_report.report_rows(
+        report_of(spark, sf), _rings(spark, sf), metrics.isolated(n, e)))
     return text.select(
         "repo", F.get_json_object("report", "$.total_files").cast("long").alias("total_files"),
         F.get_json_object("report", "$.total_imports").cast("long").alias("total_imports"),

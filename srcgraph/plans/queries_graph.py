@@ -8,6 +8,7 @@ from srcgraph.operators import (
     build, centrality, components, cycles, impact, insights, metrics, spectral, traverse)
 from srcgraph.plans.registry import query
 from srcgraph.plans.views import NATIONS, PARTS, nations, parts
+from srcgraph.stage import staged_once
 
 ROUNDS = 10
 MAX_LEN = 6
@@ -64,7 +65,9 @@ hits AS (SELECT origin, id, min(dist) AS dist FROM hop WHERE id <> origin GROUP
 
 
 def _rank(spark, sf):
-    return spectral.pagerank(*parts(spark, sf), max_iter=ROUNDS, tol=None)
+    """The scores that several queries read, computed once per session."""
+    return staged_once(spark, "part_rank", sf, lambda: spectral.pagerank(
+        *parts(spark, sf), max_iter=ROUNDS, tol=None))
 
 
 def _asked(nodes):
@@ -94,7 +97,7 @@ def labels(spark, sf):
 
 @query("pagerank", PARTS + "," + RANK + " SELECT id, round(r, 9) AS pagerank FROM pr")
 def pagerank(spark, sf):
-    return _rank(spark, sf).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return spectral.pagerank(*parts(spark, sf), max_iter=ROUNDS, tol=None).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query("hub_modules", PARTS + "," + RANK + """
@@ -216,13 +219,15 @@ def largest_scc(spark, sf):
 
 
 def _rings(spark, sf):
-    return cycles.simple_cycles(*parts(spark, sf), max_len=MAX_LEN)[0]
+    """The cycles that several queries read, computed once per session."""
+    return staged_once(spark, "part_rings", sf, lambda: cycles.simple_cycles(
+        *parts(spark, sf), max_len=MAX_LEN)[0])
 
 
 @query("simple_cycles", PARTS + "," + RINGS + """
 SELECT array_to_string(cycle, '>') AS cycle, length FROM rings""")
 def simple_cycles(spark, sf):
-    return _rings(spark, sf).select(F.array_join(F.transform(
+    return cycles.simple_cycles(*parts(spark, sf), max_len=MAX_LEN)[0].select(F.array_join(F.transform(
         "cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
 
 
@@ -394,7 +399,6 @@ REPORT_COLUMNS = [
 
 
 def report_of(spark, sf):
-    from srcgraph.stage import staged_once
     n, e = parts(spark, sf)
     return staged_once(spark, "part_metrics", sf, lambda: metrics.metrics_report(
         n, e, "full", _rank(spark, sf), MAX_LEN))
@@ -402,9 +406,7 @@ def report_of(spark, sf):
 
 @query("metrics_report", REPORT + "SELECT " + ", ".join(REPORT_COLUMNS) + " FROM rep")
 def metrics_report(spark, sf):
-    n, e = parts(spark, sf)
-    got = metrics.metrics_report(n, e, "full", _rank(spark, sf), MAX_LEN)
-    return got.withColumn("hubs", F.array_join(F.transform(
+    return report_of(spark, sf).withColumn("hubs", F.array_join(F.transform(
         "hub_modules", lambda m: m["module"]), ",")).select(*REPORT_COLUMNS)
 
 

@@ -99,7 +99,7 @@ _shared: dict[tuple, tuple] = {}
 def staged_once(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     """A derived table several queries use, written on first use in a session."""
     slot = (spark.sparkContext.applicationId, name, key)
-    if slot not in _shared:
+    if slot not in _shared or not path_exists(spark, _shared[slot][0]):
         df = build()
         path, _ = Stage(spark, name).write(df)
         _shared[slot] = (path, df.schema)
