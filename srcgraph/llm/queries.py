@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import extract_html, mixing, packing, secrets, toxicity
+from srcgraph.llm import (
+    embedding_join, extract_html, merkle, mixing, ngram_join, packing, secrets, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +53,18 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_lexicon(docs, table(spark, sf, "labels")))
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join_similar(table(spark, sf, "documents")).drop("uid")
+
+
+@query("op7_embedding_near_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_join.link_embeddings(table(spark, sf, "embeddings"))
+
+
+@query("op10_merkle_fingerprints")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.merkle_fingerprints(table(spark, sf, "documents"))
