@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from srcgraph.llm import (
-    embedding_join, extract_html, merkle, mixing, ngram_join, packing, secrets, toxicity)
+    embedding_join, extract_html, merkle, mixing, ngram_join, packing, passage_dedup, secrets, suffix_dedup,
+    toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,3 +69,13 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_merkle_fingerprints")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.merkle_fingerprints(table(spark, sf, "documents"))
+
+
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return passage_dedup.remove_passages(table(spark, sf, "documents")).drop("kept")

@@ -59,7 +59,26 @@ def in_chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         yield start, len(texts)
 
 
-class Bytes:
+class Rolling:
+    """Hashes of all runs of a sequence of 64-bit values."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        up, self._down = _power_table(n + 1)
+        self._sum = np.empty(n + 1, dtype=np.uint64)
+        self._sum[0] = 0
+        np.cumsum(values * up[:n], out=self._sum[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sum[end] - self._sum[start]) * self._down[start])
+
+    def runs(self, k: int) -> np.ndarray:
+        """Hashes of the k values from each place on."""
+        n = len(self._sum) - k
+        return mix((self._sum[k:] - self._sum[:n]) * self._down[:n]) if n > 0 else np.empty(0, dtype=np.uint64)
+
+
+class Bytes(Rolling):
     """Texts of one chunk as bytes with a running hash sum."""
 
     def __init__(self, texts: list[bytes], lower: bool = False, separator: bytes = b" "):
@@ -70,14 +89,7 @@ class Bytes:
         lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         self.ends = np.cumsum(lengths + 1) - 1
         self.starts = self.ends - lengths
-        n = len(self.data)
-        up, self._down = _power_table(n + 1)
-        self._sum = np.empty(n + 1, dtype=np.uint64)
-        self._sum[0] = 0
-        np.cumsum(_VALUES[self.data] * up[:n], out=self._sum[1:])
-
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sum[end] - self._sum[start]) * self._down[start])
+        super().__init__(_VALUES[self.data])
 
 
 class Words(Bytes):
@@ -113,16 +125,25 @@ def as_bytes(texts: Iterable) -> list[bytes]:
             for t in texts]
 
 
-def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost minimum of every ``width`` consecutive values."""
-    n = len(values) - width + 1
-    if n <= 0:
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """Least or greatest of every ``width`` consecutive values, by doubling."""
+    out, span = values, 1
+    while span < width:
+        step = min(span, width - span)
+        out = pick(out[:-step], out[step:])
+        span += step
+    return out
+
+
+def anchors(values: np.ndarray, width: int, valid: np.ndarray) -> np.ndarray:
+    """Places whose value is the least of some valid window of ``width`` values.
+
+    ``valid`` tells for every window, by its first place, if it counts.  Equal windows choose equal
+    places, as the choice looks at the values inside the window alone.
+    """
+    if len(values) < width:
         return np.empty(0, dtype=np.int64)
-    # positions by doubling: best[i] is the leftmost minimum of values[i : i + span]
-    best, span = np.arange(len(values), dtype=np.int64), 1
-    while span * 2 <= width:
-        left, right = best[:-span], best[span:]
-        best = np.where(values[right] < values[left], right, left)
-        span *= 2
-    left, right = best[:n], best[width - span:width - span + n]
-    return np.where(values[right] < values[left], right, left)
+    least = np.where(valid, _sliding(values, width, np.minimum), np.uint64(0))
+    padded = np.zeros(len(values) + width - 1, dtype=np.uint64)
+    padded[width - 1:width - 1 + len(least)] = least
+    return np.flatnonzero(_sliding(padded, width, np.maximum) == values)
