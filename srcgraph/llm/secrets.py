@@ -147,14 +147,18 @@ def redact_text(text: str | None, mark: str = "[secret]") -> str | None:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """Documents with their secrets replaced; columns and order of columns stay."""
+    """Documents with their secrets replaced; columns stay, and ``n_chars`` follows the text."""
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = pa.array([redact_text(t, mark) for t in batch.column(at).to_pylist()], pa.string())
-            columns = [text if i == at else batch.column(i) for i in range(batch.num_columns)]
+            texts = [redact_text(t, mark) for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                i = names.index("n_chars")
+                columns[i] = pa.array([None if t is None else len(t) for t in texts], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)
