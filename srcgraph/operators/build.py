@@ -121,18 +121,11 @@ def line_count(content) -> Column:
         (c != "") & ~c.endswith("\n"), 1).otherwise(0)
 
 
-# fixed values: limits of the file statistics and of captured contents
-MAX_LINE_COUNT_BYTES = 1024 * 1024
-MAX_CAPTURED_FILES = 500
-MAX_CAPTURED_CHARS = 100 * 1024
-
-
 def file_stats(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Size and line count of internal nodes; lines only up to 1 MiB."""
+    """Size and line count of internal nodes."""
     stats = files.select(
         "repo", F.col("path").alias("id"), "size_bytes",
-        F.when(F.col("size_bytes") <= MAX_LINE_COUNT_BYTES, line_count("content")).cast("long")
-        .alias("line_count"))
+        line_count("content").cast("long").alias("line_count"))
     return nodes.where("node_type <> 'external'").select("repo", "id").join(
         stats, ["repo", "id"], "left")
 
@@ -161,18 +154,20 @@ def package_versions(nodes: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def capture_contents(
-    nodes: DataFrame, files: DataFrame, max_files: int = MAX_CAPTURED_FILES,
-    max_chars: int = MAX_CAPTURED_CHARS,
+    nodes: DataFrame, files: DataFrame, max_files: int | None = None, max_chars: int | None = None,
 ) -> DataFrame:
-    """Text of the first ``max_files`` node files of each repo, cut to ``max_chars``."""
-    order = Window.partitionBy("repo").orderBy("path")
+    """Text of the node files of each repo; the caller may ask for fewer files or shorter texts."""
     have = files.select("repo", "path").join(
         nodes.where("node_type <> 'external'").select("repo", F.col("id").alias("path")),
         ["repo", "path"], "left_semi")
-    chosen = have.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_files)
+    chosen = have
+    if max_files is not None:
+        order = Window.partitionBy("repo").orderBy("path")
+        chosen = have.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_files)
+    text = F.col("content") if max_chars is None else F.substring("content", 1, max_chars)
     return files.join(chosen.select("repo", "path"), ["repo", "path"], "left_semi").select(
         "repo", normalize_file_key("path").alias("key"),
-        F.substring("content", 1, max_chars).alias("content"))
+        text.alias("content"))
 
 
 def enrich_nodes(nodes: DataFrame, edges: DataFrame, scores: dict[str, DataFrame]) -> DataFrame:

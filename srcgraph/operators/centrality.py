@@ -14,17 +14,15 @@ def _sizes(nodes: DataFrame) -> DataFrame:
 
 
 def closeness(
-    nodes: DataFrame, edges: DataFrame, direction: str = "out", max_nodes: int | None = 2000
+    nodes: DataFrame, edges: DataFrame, direction: str = "out"
 ) -> DataFrame:
     """``repo, id, closeness`` = (r-1)/sum(d) * (r-1)/(N-1) over the r nodes reached.
 
-    ``direction='out'`` follows imports (the computed form), ``'in'`` follows
-    importers.  Repos above ``max_nodes`` get 0; ``None`` computes all.
+    ``direction='out'`` follows imports (the computed form), ``'in'`` follows importers.
     """
     links = edges if direction == "out" else reverse(edges)
     sizes = _sizes(nodes)
-    small = sizes if max_nodes is None else sizes.where(F.col("n") <= max_nodes)
-    levels, number = mask_bfs(links, nodes.join(small, "repo").select("repo", "id"))
+    levels, number = mask_bfs(links, nodes.select("repo", "id"))
     # nodes per level and origin: one sum per bit, then one row per bit
     hits = levels.groupBy("repo", "chunk", "dist").agg(*[
         F.sum(F.shiftright("front", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)])
@@ -44,31 +42,25 @@ def closeness(
         .select("repo", "id", F.coalesce(value, F.lit(0.0)).alias("closeness")))
 
 
-def pivots(nodes: DataFrame, k: int, threshold: int = 2000) -> DataFrame:
-    """Search origins: every node of a small repo, k md5-ordered nodes of a large one."""
+def pivots(nodes: DataFrame, k: int | None = None) -> DataFrame:
+    """Search origins: every node, or the first ``k`` nodes of each repo in md5 order."""
+    base = nodes.select("repo", "id").join(_sizes(nodes), "repo")
+    if k is None:
+        return base.select("repo", F.col("id").alias("origin"), F.col("n").alias("k"))
     order = Window.partitionBy("repo").orderBy(F.md5(F.col("id").cast("string")), "id")
-    sizes = _sizes(nodes)
-    base = nodes.select("repo", "id").join(sizes, "repo")
-    large = (
-        base.where(F.col("n") > threshold).withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= k)
-        .select("repo", F.col("id").alias("origin"), F.least("n", F.lit(k)).alias("k"))
-    )
-    small = base.where(F.col("n") <= threshold).select(
-        "repo", F.col("id").alias("origin"), F.col("n").alias("k"))
-    return small.unionByName(large)
+    return base.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select(
+        "repo", F.col("id").alias("origin"), F.least("n", F.lit(k)).alias("k"))
 
 
 def betweenness(
     nodes: DataFrame,
     edges: DataFrame,
-    k: int = 500,
-    threshold: int = 2000,
+    k: int | None = None,
     batches: int = 1,
 ) -> DataFrame:
     """``repo, id, betweenness``: directed, endpoints out, over (N-1)(N-2).
 
-    Repos above ``threshold`` nodes use ``k`` pivots scaled by N/k.  Forward
+    With ``k`` the search starts from k pivots of each repo and is scaled by N/k.  Forward
     levels count shortest paths, backward levels return dependencies; the state
     of one batch is (origin, node) rows.
     """
@@ -76,7 +68,7 @@ def betweenness(
     stage = Stage(spark, "betweenness")
     links, _ = stage.save(
         edges.select("repo", "source", "target").where("source <> target").distinct())
-    chosen, _ = stage.save(pivots(nodes, k, threshold))
+    chosen, _ = stage.save(pivots(nodes, k))
     total = None
     for b in range(batches):
         part = chosen if batches == 1 else chosen.where(

@@ -79,10 +79,11 @@ def cycle_stats(cycles: DataFrame) -> DataFrame:
         F.max("length").alias("max_cycle_length"))
 
 
-def first_cycles(cycles: DataFrame, n: int) -> DataFrame:
-    """The n shortest cycles of each repo with their rank (ties: node order)."""
+def first_cycles(cycles: DataFrame, n: int | None = None) -> DataFrame:
+    """The n shortest cycles of each repo (default all) with their rank (ties: node order)."""
     order = Window.partitionBy("repo").orderBy("length", "cycle")
-    return cycles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    ranked = cycles.withColumn("rank", F.row_number().over(order))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def cycle_edges(cycles: DataFrame) -> DataFrame:
@@ -96,8 +97,8 @@ def cycle_edges(cycles: DataFrame) -> DataFrame:
              F.col("pair.target").alias("target"))
 
 
-def cycle_details(cycles: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
-    """First n cycles with severity and their edges (import type and lines)."""
+def cycle_details(cycles: DataFrame, edges: DataFrame, n: int | None = None) -> DataFrame:
+    """First n cycles (default all) with severity and their edges (import type and lines)."""
     rows = cycle_edges(first_cycles(cycles, n)).join(
         edges.select("repo", "source", "target", "import_type", "line_numbers"),
         ["repo", "source", "target"])
@@ -113,8 +114,8 @@ def cycle_details(cycles: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame
     ).withColumn("severity", F.when(F.col("length") <= 3, "high").otherwise("medium"))
 
 
-def cycle_warnings(cycles: DataFrame, n: int = 5) -> DataFrame:
-    """First n cycles as text, base names joined by an arrow."""
+def cycle_warnings(cycles: DataFrame, n: int | None = None) -> DataFrame:
+    """First n cycles (default all) as text, base names joined by an arrow."""
     return first_cycles(cycles, n).select(
         "repo", "rank",
         F.concat_ws(" → ", F.transform(

@@ -23,15 +23,19 @@ def external_usage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(total, "repo").select("repo", "id", "kind", "usage", "total_usage")
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, ids: list) -> DataFrame:
-    """Incoming and outgoing edges of the asked nodes with the peer's type."""
+def neighbours(nodes: DataFrame, edges: DataFrame, asked: DataFrame | list) -> DataFrame:
+    """Incoming and outgoing edges of the asked nodes (a list of ids, or ``repo, id``) with the peer's type."""
     cols = ["import_type", "line_numbers"] if "import_type" in edges.columns else []
-    out = edges.where(F.col("source").isin(ids)).select(
-        "repo", F.col("source").alias("id"), F.lit("out").alias("direction"),
-        F.col("target").alias("peer"), *cols)
-    inn = edges.where(F.col("target").isin(ids)).select(
-        "repo", F.col("target").alias("id"), F.lit("in").alias("direction"),
-        F.col("source").alias("peer"), *cols)
+
+    def side(end: str, direction: str, peer: str) -> DataFrame:
+        if isinstance(asked, DataFrame):
+            mine = edges.join(asked.select("repo", F.col("id").alias(end)), ["repo", end], "left_semi")
+        else:
+            mine = edges.where(F.col(end).isin(asked))
+        return mine.select("repo", F.col(end).alias("id"), F.lit(direction).alias("direction"),
+                           F.col(peer).alias("peer"), *cols)
+
+    out, inn = side("source", "out", "target"), side("target", "in", "source")
     kind = nodes.select("repo", F.col("id").alias("peer"), F.col("node_type").alias("peer_type"))
     return out.unionByName(inn).join(kind, ["repo", "peer"], "left")
 
@@ -43,8 +47,10 @@ def matches(query: str) -> Column:
 
 
 def node_search(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """First matching nodes by id."""
-    return nodes.where(matches(query)).orderBy("repo", "id").limit(limit)
+    """First matching nodes of each repo by id."""
+    order = Window.partitionBy("repo").orderBy("id")
+    return nodes.where(matches(query)).withColumn("rank", F.row_number().over(order)).where(
+        F.col("rank") <= limit).drop("rank")
 
 
 def node_list(

@@ -73,12 +73,9 @@ def dependency_chains(
     nodes: DataFrame, edges: DataFrame, targets: DataFrame, k: int = 3,
     strict_internal: bool = False,
 ) -> DataFrame:
-    """Up to k shortest import chains from the first 2k entry nodes to each target."""
+    """Up to k shortest import chains to each target, from the first k entry nodes that reach it."""
     pool = nodes.where("node_type <> 'external'") if strict_internal else nodes
-    first = Window.partitionBy("repo").orderBy("id")
-    start = entries(pool, edges).withColumn("rn", F.row_number().over(first)).where(
-        F.col("rn") <= 2 * k)
-    paths = shortest_paths(edges, start.select("repo", "id"), targets)
+    paths = shortest_paths(edges, entries(pool, edges).select("repo", "id"), targets, k)
     rank = Window.partitionBy("repo", "target").orderBy("entry")
     return (
         paths.where(F.size("path") > 1).withColumn("rank", F.row_number().over(rank))

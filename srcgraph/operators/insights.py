@@ -78,11 +78,14 @@ def recommendations(metrics: DataFrame) -> DataFrame:
     return metrics.select("repo", F.explode(found).alias("x")).select("repo", "x.*")
 
 
-def insights(metrics: DataFrame) -> DataFrame:
-    """Issues as insight items next to score, status and summary counts."""
+def insights(metrics: DataFrame, title: int | None = None) -> DataFrame:
+    """Issues as insight items next to score, status and summary counts.
+
+    ``title`` cuts the titles to so many characters.
+    """
     items = issues(metrics).select(
         "repo", F.when(F.col("severity").isin("high", "medium"), "warning").otherwise("info")
-        .alias("type"), F.substring("message", 1, 80).alias("title"),
+        .alias("type"), (F.col("message") if title is None else F.substring("message", 1, title)).alias("title"),
         F.col("message").alias("description"), "severity")
     head = metrics.select("repo", health_score().alias("health_score"), "total_files",
                           F.col("total_cycles").alias("circular_dependencies"),

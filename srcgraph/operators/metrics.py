@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.operators import components, cycles as cyc, spectral, traverse
 from srcgraph.operators.build import degrees
+from srcgraph.stage import Stage
 
 
 def with_type(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,8 +17,9 @@ def with_type(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).join(nodes.select("repo", "id", "node_type"), ["repo", "id"])
 
 
-def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return with_type(nodes, edges).where(
+def isolated(nodes: DataFrame, edges: DataFrame, typed: DataFrame | None = None) -> DataFrame:
+    """Internal nodes without edges; ``typed`` is ``with_type``, if it is known."""
+    return (with_type(nodes, edges) if typed is None else typed).where(
         "node_type <> 'external' AND import_count = 0 AND imported_by_count = 0"
     ).select("repo", "id")
 
@@ -88,9 +90,9 @@ def top_imported(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
         "repo", "rank", "id", "imported_by_count")
 
 
-def import_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def import_statistics(nodes: DataFrame, edges: DataFrame, typed: DataFrame | None = None) -> DataFrame:
     """Over internal nodes: average and largest out-degree, largest in-degree."""
-    d = with_type(nodes, edges).where("node_type <> 'external'")
+    d = (with_type(nodes, edges) if typed is None else typed).where("node_type <> 'external'")
     best = lambda c: F.min_by("id", F.struct(-F.col(c), F.col("id")))
     got = d.groupBy("repo").agg(
         F.bround(F.avg("import_count"), 2).alias("avg_imports_per_file"),
@@ -107,9 +109,13 @@ def import_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.coalesce("most_imported_count", F.lit(0)).alias("most_imported_count"))
 
 
-def node_importance(scored: DataFrame, ids: list) -> DataFrame:
-    """PageRank, betweenness and degrees of the asked nodes."""
-    return scored.where(F.col("id").isin(ids)).select(
+def node_importance(scored: DataFrame, asked: DataFrame | list) -> DataFrame:
+    """PageRank, betweenness and degrees of the asked nodes (a list of ids, or ``repo, id``)."""
+    if isinstance(asked, DataFrame):
+        kept = scored.join(asked.select("repo", "id"), ["repo", "id"], "left_semi")
+    else:
+        kept = scored.where(F.col("id").isin(asked))
+    return kept.select(
         "repo", "id", "pagerank", "betweenness", "imported_by_count", "import_count")
 
 
@@ -134,11 +140,11 @@ def metrics_report(
     if level not in ("full", "light"):
         raise ValueError("level is 'full' or 'light'")
     per_repo = lambda df, name: df.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
-    d = degrees(nodes, edges)
+    d, _ = Stage(edges.sparkSession, "metrics").save(with_type(nodes, edges))  # five frames read it
     frames = [
-        edge_counts(nodes, edges), density(nodes, edges), import_statistics(nodes, edges),
-        per_repo(isolated(nodes, edges), "isolated_count"),
-        per_repo(entry_points(nodes, edges), "entry_points_count"),
+        edge_counts(nodes, edges), density(nodes, edges), import_statistics(nodes, edges, d),
+        per_repo(isolated(nodes, edges, d), "isolated_count"),
+        per_repo(d.where("node_type <> 'external' AND imported_by_count = 0"), "entry_points_count"),
         traverse.max_depth(nodes, edges),
         ranked_list(d, "import_count", "top_importers", 5),
         ranked_list(d, "imported_by_count", "top_imported", 5),

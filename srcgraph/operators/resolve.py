@@ -168,7 +168,7 @@ def _is_go_std(module: Column) -> Column:
 _STD: dict[str, Callable[[Column], Column]] = {
     "python": lambda m: ~m.startswith(".") & F.trim(F.substring_index(m, ".", 1)).isin(PYTHON_STDLIB),
     "javascript": lambda m: F.when(
-        F.trim(m).startswith("node:"), F.substring(F.trim(m), 6, 1000).isin(NODE_BUILTIN)
+        F.trim(m).startswith("node:"), F.substr(F.trim(m), F.lit(6)).isin(NODE_BUILTIN)
     ).otherwise(F.substring_index(F.substring_index(F.trim(m), "/", 1), "@", -1).isin(NODE_BUILTIN)),
     "go": _is_go_std,
     "java": lambda m: F.regexp_replace(F.rtrim(m), r"\*+$|\.\*$|\.+$", "").rlike(_JAVA_RX),
@@ -196,6 +196,19 @@ def register_resolver(lang: str, bases: Bases, forms: Forms | None = None, stdli
         _custom_ext[ext.lower()] = lang
 
 
+_BUILT_IN = (dict(_BASES), dict(_FORMS), dict(_STD))
+
+
+def unregister_resolver(lang: str) -> None:
+    """Undo ``register_resolver``; a built-in language gets its own rules back."""
+    for table, own in zip((_BASES, _FORMS, _STD), _BUILT_IN, strict=True):
+        table.pop(lang, None)
+        if lang in own:
+            table[lang] = own[lang]
+    for ext in [e for e, name in _custom_ext.items() if name == lang]:
+        del _custom_ext[ext]
+
+
 def is_stdlib(lang, module) -> Column:
     """Whether a module that is not in the project belongs to the language itself."""
     lang = F.col(lang) if isinstance(lang, str) else lang

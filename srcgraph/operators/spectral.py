@@ -22,8 +22,9 @@ def pagerank(
 ) -> DataFrame:
     """``repo, id, pagerank`` with uniform teleport and uniform dangling mass.
 
-    A repo is final once the summed absolute change is below N * tol; one that
-    never gets there gets 1/N.  ``tol=None`` runs exactly ``max_iter`` rounds.
+    A repo is final once the summed absolute change is below N * tol.  A repo that is not
+    within ``max_iter`` rounds (at this damping the change shrinks by ``alpha`` a round)
+    raises; ``tol=None`` runs exactly ``max_iter`` rounds.
     """
     stage = Stage(edges.sparkSession, "pagerank")
     links = edges.select("repo", "source", "target").distinct()
@@ -68,11 +69,9 @@ def pagerank(
         stage.drop(old)
         if not got["open"]:
             return state.select("repo", "id", F.col("rank").alias("pagerank"))
-    if tol is None:
-        return state.select("repo", "id", F.col("rank").alias("pagerank"))
-    return state.join(stats, "repo").select(
-        "repo", "id",
-        F.when(F.col("done"), F.col("rank")).otherwise(F.lit(1.0) / F.col("n")).alias("pagerank"))
+    if tol is not None and stats.where("NOT done").take(1):
+        raise ValueError(f"page rank has not converged in {max_iter} rounds")
+    return state.select("repo", "id", F.col("rank").alias("pagerank"))
 
 
 def eigenvector(
@@ -83,9 +82,9 @@ def eigenvector(
 ) -> DataFrame:
     """``repo, id, eigenvector, converged``: shifted power iteration.
 
-    x'[importer] = x[importer] + sum of x[imported], scaled to length 1.  A
-    repo that does not converge falls back to in-degree over the largest
-    in-degree.  ``tol=None`` runs exactly ``max_iter`` rounds, no fallback.
+    x'[importer] = x[importer] + sum of x[imported], scaled to length 1.  The values of a
+    repo that is not final after ``max_iter`` rounds are those of the last round, with
+    ``converged`` false.  ``tol=None`` runs exactly ``max_iter`` rounds.
     """
     stage = Stage(edges.sparkSession, "eigenvector")
     links, _ = stage.save(edges.select("repo", "source", "target").distinct())
@@ -131,11 +130,7 @@ def eigenvector(
     if tol is None:
         return last.select("repo", "id", F.col("x").alias("eigenvector"),
                            F.lit(None).cast("boolean").alias("converged"))
-    return last.join(indegree_centrality(nodes, edges), ["repo", "id"]).select(
-        "repo", "id",
-        F.when(F.col("done"), F.col("x")).otherwise(F.col("indegree_centrality"))
-        .alias("eigenvector"),
-        F.col("done").alias("converged"))
+    return last.select("repo", "id", F.col("x").alias("eigenvector"), F.col("done").alias("converged"))
 
 
 def indegree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:

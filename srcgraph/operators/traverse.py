@@ -6,7 +6,7 @@ Visited rows are appended level by level, never rewritten.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcgraph.stage import Stage
@@ -126,8 +126,8 @@ def max_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
-    """One shortest path from every seed to every target it reaches.
+def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, k: int | None = None) -> DataFrame:
+    """One shortest path from every seed (or the first k that do) to every target it reaches.
 
     Runs backward from the targets (few) and keeps, per (target, node), the
     smallest next hop on a shortest path; paths are then read off by following
@@ -149,6 +149,8 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame) -> Da
         seeds.select("repo", F.col("id").alias("entry"))
         .join(dist.where("dist > 0").select("repo", "origin", F.col("id").alias("entry")),
               ["repo", "entry"])
+        .transform(lambda df: df if k is None else df.withColumn("rn", F.row_number().over(
+            Window.partitionBy("repo", "origin").orderBy("entry"))).where(F.col("rn") <= k))
         .select("repo", "origin", "entry", F.col("entry").alias("id"),
                 F.array("entry").alias("path"))
     )

@@ -28,13 +28,12 @@ def graph_of(
 def analyze(
     files: DataFrame, mode: str = "exact", level: str = "full", patterns: list[str] | None = None,
     commits: DataFrame | None = None, versions: DataFrame | None = None,
-    max_cycle_length: int | None = None, include_all_files: bool = False, max_rounds: int = 100,
+    max_cycle_length: int | None = None, include_all_files: bool = False, max_rounds: int = 5000,
 ) -> dict[str, DataFrame]:
     """``nodes, edges, metrics, warnings`` of a portfolio in one run.
 
     ``level='light'`` leaves out cycles, hubs and the score columns that need
-    them.  ``max_rounds`` bounds the eigenvector rounds (beyond it the in-degree
-    form is used).  The loops run on compact numeric ids and are mapped back at the end.
+    them.  ``max_rounds`` bounds the eigenvector rounds.  The loops run on compact numeric ids and are mapped back at the end.
     """
     spark = files.sparkSession
     stage = Stage(spark, "analyze")

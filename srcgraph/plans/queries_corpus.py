@@ -8,10 +8,10 @@ from srcgraph.functions import languages, urls
 from srcgraph.functions.paths import folder_path
 from srcgraph.operators import build, extract, resolve
 from srcgraph.plans.registry import query
-from srcgraph.plans.views import _EXT, CORPUS, corpus, table
+from srcgraph.plans.views import _EXT, _HEAD, _TAIL, CORPUS, _sql_list, corpus, table
 from srcgraph.sources import configs
 from srcgraph.sources import files as file_source
-from srcgraph.stage import staged_once
+from srcgraph.stage import Stage, staged_once
 
 COLS = "repo, source_file, imported_module, import_type, line_number"
 
@@ -51,9 +51,14 @@ def _mixed(spark, sf):
         "repo", F.concat(front, "path").alias("path"), "ext")
 
 
-@query("scan_files", CORPUS + """SELECT repo, path, ext FROM f WHERE ext IN ('.py', '.go')""")
+@query("scan_files", """SELECT 'lang=' || lang AS repo, sum(strlen(text) + 1)::BIGINT AS bytes,
+  sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY 1""")
 def scan_files(spark, sf):
-    return corpus(spark, sf).where(F.col("ext").isin(".py", ".go")).select("repo", "path", "ext")
+    # the texts as files in one folder per language
+    root = Stage(spark, "scan").root
+    table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(root)
+    return file_source.scan_files(spark, root, all_files=True).groupBy("repo").agg(
+        F.sum("size_bytes").alias("bytes"), F.sum(F.length("content")).alias("chars"))
 
 
 @query("filter_ignored", MIXED + """
@@ -302,12 +307,12 @@ def resolver_for(spark, sf):
 
 
 @query("register_resolver", """
-SELECT 'parts/' || p_partkey || '.part' AS source_file, CASE WHEN p_size <= 25 THEN
+SELECT 'parts/' || p_partkey || '.part' AS source_file, CASE WHEN p_size IN (SELECT p_partkey FROM part) THEN
   'parts/' || p_size || '.part' ELSE 'size ' || p_size END AS target,
-  CASE WHEN p_size <= 25 THEN NULL ELSE 'package' END AS external_kind FROM part""")
+  CASE WHEN p_size IN (SELECT p_partkey FROM part) THEN NULL ELSE 'package' END AS external_kind FROM part""")
 def register_resolver(spark, sf):
     parts = table(spark, sf, "part")
-    files = parts.where("p_partkey <= 25").select(
+    files = parts.select(
         F.lit("parts").alias("repo"), F.concat(F.lit("parts/"), "p_partkey", F.lit(".part")).alias("path"),
         F.lit(".part").alias("ext"))
     rows = parts.select(
@@ -316,19 +321,21 @@ def register_resolver(spark, sf):
         F.concat(F.lit("size "), "p_size").alias("imported_module"), F.lit("uses").alias("import_type"),
         F.lit(1).alias("line_number"), F.lit(0).alias("pos"))
     resolve.register_resolver("partlang", lambda folder, module, cfg: F.array(F.concat(
-        folder, F.lit("/"), F.substring(module, 6, 100), F.lit(".part"))), extensions=[".part"])
+        folder, F.lit("/"), F.substr(module, F.lit(6)), F.lit(".part"))), extensions=[".part"])
     cfg = files.select("repo", F.lit(None).cast("string").alias("go_module"),
                        F.lit(None).cast(configs.ALIASES).alias("aliases"),
                        F.lit(None).cast("array<string>").alias("java_roots")).distinct()
-    return resolve.resolve_imports(rows, files, cfg).select("source_file", "target", "external_kind")
+    got = resolve.resolve_imports(rows, files, cfg).select("source_file", "target", "external_kind")
+    resolve.unregister_resolver("partlang")
+    return got
 
 
 # --- graph build ----------------------------------------------------------------------------
 
-@query("build_edges", CORPUS + "SELECT repo, source, target, lines, first_line FROM ce")
+@query("build_edges", CORPUS + "SELECT repo, source, target, import_type, lines, first_line FROM ce")
 def build_edges(spark, sf):
     return build.build_edges(_resolved(spark, sf)).select(
-        "repo", "source", "target", F.size("line_numbers").alias("lines"),
+        "repo", "source", "target", "import_type", F.size("line_numbers").alias("lines"),
         F.col("line_numbers")[0].alias("first_line"))
 
 
@@ -409,15 +416,14 @@ def scan_packages(spark, sf):
     return build.package_versions(nodes, versions).drop("repo")
 
 
-@query("capture_contents", CORPUS + """
-SELECT repo, path AS key, 40 AS chars FROM (
-  SELECT f.repo, path, row_number() OVER (PARTITION BY f.repo ORDER BY path) AS rn
-  FROM f JOIN (SELECT repo, id FROM cn WHERE node_type <> 'external') n ON n.repo = f.repo AND n.id = path)
-WHERE rn <= 100""")
+@query("capture_contents", CORPUS + f"""
+SELECT f.repo, path AS key, {_sql_list(_HEAD)} AS first_line, {_sql_list(_TAIL)} AS last_line
+FROM f JOIN (SELECT repo, id FROM cn WHERE node_type <> 'external') n ON n.repo = f.repo AND n.id = path""")
 def capture_contents(spark, sf):
     n, _ = corpus_graph(spark, sf)
-    return build.capture_contents(n, corpus(spark, sf), 100, 40).select(
-        "repo", "key", F.length("content").alias("chars"))
+    return build.capture_contents(n, corpus(spark, sf)).select(
+        "repo", "key", F.substring_index("content", "\n", 1).alias("first_line"),
+        F.substring_index(F.rtrim("content", F.lit("\n")), "\n", -1).alias("last_line"))
 
 
 @query("edges_from_analysis", CORPUS + """
@@ -448,10 +454,10 @@ def detect_languages(spark, sf):
     return languages.detect_languages(corpus(spark, sf))
 
 
-@query("language_of_ext", LANGS + "SELECT repo, language, files FROM lc WHERE language IN ('Go', 'Rust')")
+@query("language_of_ext", LANGS + "SELECT repo, language, files FROM lc")
 def language_of_ext(spark, sf):
     return corpus(spark, sf).select("repo", languages.language_of_ext("ext").alias("language")).where(
-        F.col("language").isin("Go", "Rust")).groupBy("repo", "language").agg(
+        "language IS NOT NULL").groupBy("repo", "language").agg(
         F.count(F.lit(1)).alias("files"))
 
 

@@ -5,7 +5,7 @@ Each view has a DataFrame form and a SQL form with the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.stage import staged_once
@@ -15,60 +15,71 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-# --- part graph: consecutive parts of an order -------------------------------------------
+# --- month graphs: parts on consecutive lines of an order, a repository per order month -------
 
-PARTS = """
-WITH RECURSIVE part_lines AS (
-  SELECT l_orderkey AS o, l_linenumber AS l,
-         unnest(list_distinct([min(l_partkey), max(l_partkey)])) AS p
-  FROM lineitem GROUP BY 1, 2),
-pairs AS (
-  SELECT DISTINCT a.p AS source, b.p AS target
-  FROM part_lines a JOIN part_lines b ON a.o = b.o AND b.l = a.l + 1
-  WHERE (a.p < b.p AND (a.p * 31 + b.p) % 7 = 0) OR (a.p > b.p AND (a.p * 31 + b.p) % 31 = 0)),
-e AS (
-  SELECT source, target,
+# a node is a part in a month: its id is month * SPAN + part, the month counted from 1992
+SPAN = 1_000_000_000
+_MONTH = "((year(o_orderdate) - 1992) * 12 + month(o_orderdate))"
+
+
+def _graph_sql(e: str, n: str, where: str = "true") -> str:
+    """Edges ``e`` and nodes with degrees ``n`` of the orders that ``where`` names, as CTEs."""
+    return f"""
+{e}_lines AS (
+  SELECT DISTINCT l_orderkey AS o, l_linenumber AS l,
+         CAST({_MONTH} AS BIGINT) * {SPAN} + l_partkey AS p
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {where}),
+{e} AS (
+  SELECT 'm' || (source // {SPAN}) AS repo, source, target,
          CASE WHEN (source + target) % 3 = 0 THEN 'from' ELSE 'module' END AS import_type,
          source % 50 + 1 AS line_1, target % 50 + 60 AS line_2
-  FROM pairs),
-n AS (
-  SELECT id, CASE WHEN id % 10 = 0 THEN 'external' ELSE 'module' END AS node_type,
+  FROM (SELECT DISTINCT a.p AS source, b.p AS target
+        FROM {e}_lines a JOIN {e}_lines b ON a.o = b.o AND b.l = a.l + 1 WHERE a.p <> b.p)),
+{n} AS (
+  SELECT repo, id, coalesce(o.c, 0) AS import_count, coalesce(i.c, 0) AS imported_by_count,
+         CASE WHEN id % 10 = 0 THEN 'external' ELSE 'module' END AS node_type,
          CASE WHEN id % 20 = 0 THEN 'stdlib' WHEN id % 10 = 0 THEN 'package' END AS external_kind,
          CASE WHEN id % 10 = 0 THEN CAST(id AS VARCHAR)
               ELSE 'src/d' || (id % 7) || '/e' || (id % 3) || '/p' || id || '.py' END AS file_path,
          CASE WHEN id % 10 = 0 THEN CAST(id AS VARCHAR) ELSE 'p' || id || '.py' END AS label
-  FROM (SELECT source AS id FROM pairs UNION SELECT target FROM pairs)),
-deg AS (
-  SELECT id, coalesce(o.c, 0) AS import_count, coalesce(i.c, 0) AS imported_by_count,
-         node_type, external_kind, file_path, label
-  FROM n LEFT JOIN (SELECT source AS id, count(*) AS c FROM e GROUP BY 1) o USING (id)
-         LEFT JOIN (SELECT target AS id, count(*) AS c FROM e GROUP BY 1) i USING (id))
+  FROM (SELECT repo, source AS id FROM {e} UNION SELECT repo, target FROM {e})
+       LEFT JOIN (SELECT source AS id, count(*) AS c FROM {e} GROUP BY 1) o USING (id)
+       LEFT JOIN (SELECT target AS id, count(*) AS c FROM {e} GROUP BY 1) i USING (id))"""
+
+
+PARTS = "WITH RECURSIVE " + _graph_sql("e", "deg").strip() + """,
+n AS (SELECT repo, id, node_type, external_kind, file_path, label FROM deg),
+-- no shortest path of a repository is longer than its number of nodes
+lim AS MATERIALIZED (SELECT max(c) AS c FROM (SELECT count(*) AS c FROM n GROUP BY repo))
 """
 
 
-def _part_pairs(spark: SparkSession, sf: str, orders: Column | None = None) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+def _month_pairs(spark: SparkSession, sf: str, orders: Column | None = None) -> DataFrame:
+    """Distinct pairs of parts on consecutive lines of an order, within the order's month.
+
+    An order has a handful of lines, so the pairing is bounded per order.
+    """
+    day = F.col("o_orderdate")
+    months = table(spark, sf, "orders")
     if orders is not None:
-        kept = table(spark, sf, "orders").where(orders).select(F.col("o_orderkey").alias("l_orderkey"))
-        lines = lines.join(kept, "l_orderkey", "left_semi")
-    # at most two parts per (order, line), so the pairing below stays linear
-    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")
-    ).select("l_orderkey", "l_linenumber", F.explode(F.array_distinct(F.array("a", "b"))).alias("p"))
-    left = lines.select("l_orderkey", "l_linenumber", F.col("p").alias("source"))
+        months = months.where(orders)
+    months = months.select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        ((F.year(day) - 1992) * 12 + F.month(day)).cast("long").alias("month"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(
+        months, "l_orderkey").select(
+        "l_orderkey", "l_linenumber", "month", (F.col("month") * SPAN + F.col("l_partkey")).alias("p")).distinct()
+    left = lines.select("l_orderkey", "l_linenumber", "month", F.col("p").alias("source"))
     right = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"),
                          F.col("p").alias("target"))
-    key = F.col("source") * 31 + F.col("target")
-    keep = ((F.col("source") < F.col("target")) & (key % 7 == 0)) | (
-        (F.col("source") > F.col("target")) & (key % 31 == 0))
-    return left.join(right, ["l_orderkey", "l_linenumber"]).where(keep).select(
-        "source", "target").distinct()
+    return left.join(right, ["l_orderkey", "l_linenumber"]).where("source <> target").select(
+        F.concat(F.lit("m"), "month").alias("repo"), "source", "target").distinct()
 
 
-def _part_edges(pairs: DataFrame, repo: str = "parts") -> DataFrame:
+def _part_edges(pairs: DataFrame) -> DataFrame:
     s, t = F.col("source"), F.col("target")
     return pairs.select(
-        F.lit(repo).alias("repo"), "source", "target",
+        "repo", "source", "target",
         F.when((s + t) % 3 == 0, "from").otherwise("module").alias("import_type"),
         F.array((s % 50 + 1).cast("int"), (t % 50 + 60).cast("int")).alias("line_numbers"))
 
@@ -85,87 +96,59 @@ def _part_nodes(edges: DataFrame) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the part graph."""
-    edges = staged_once(spark, "part_edges", sf, lambda: _part_edges(_part_pairs(spark, sf)))
+    """Nodes and edges of the month graphs."""
+    edges = staged_once(spark, "part_edges", sf, lambda: _part_edges(_month_pairs(spark, sf)))
     nodes = staged_once(spark, "part_nodes", sf, lambda: _part_nodes(edges))
     return nodes, edges
 
 
-# --- snapshots: the part graph of orders before a day and of all orders --------------------
+# --- snapshots: the month graphs up to the 20th and from the 11th of every month ---------------
 
-CUT = "1998-01-01"
-
-
-def _sql_pairs(name: str, where: str) -> str:
-    return f"""
-{name}_lines AS (
-  SELECT l_orderkey AS o, l_linenumber AS l,
-         unnest(list_distinct([min(l_partkey), max(l_partkey)])) AS p
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {where} GROUP BY 1, 2),
-{name} AS (
-  SELECT DISTINCT a.p AS source, b.p AS target
-  FROM {name}_lines a JOIN {name}_lines b ON a.o = b.o AND b.l = a.l + 1
-  WHERE (a.p < b.p AND (a.p * 31 + b.p) % 7 = 0) OR (a.p > b.p AND (a.p * 31 + b.p) % 31 = 0)),
-{name}_n AS (
-  SELECT id, CASE WHEN id % 10 = 0 THEN 'external' ELSE 'module' END AS node_type,
-         coalesce(o.c, 0) AS import_count, coalesce(i.c, 0) AS imported_by_count
-  FROM (SELECT source AS id FROM {name} UNION SELECT target FROM {name})
-       LEFT JOIN (SELECT source AS id, count(*) AS c FROM {name} GROUP BY 1) o USING (id)
-       LEFT JOIN (SELECT target AS id, count(*) AS c FROM {name} GROUP BY 1) i USING (id))"""
-
-
-SNAPSHOTS = ("WITH RECURSIVE " + _sql_pairs("s1", f"o_orderdate < TIMESTAMP '{CUT}'").strip() + ","
-             + _sql_pairs("s2", "o_orderdate >= TIMESTAMP '1994-01-01'"))
+SNAPSHOTS = ("WITH RECURSIVE " + _graph_sql("s1", "s1_n", "day(o_orderdate) <= 20").strip() + ","
+             + _graph_sql("s2", "s2_n", "day(o_orderdate) > 10"))
 
 
 def snapshots(spark: SparkSession, sf: str) -> tuple[tuple, tuple]:
-    """Two analyses of one repo: orders up to 1997, orders from 1994 on."""
+    """Two analyses of every repository: orders of the first 20 days, and of all but the first 10."""
     def one(name: str, where: Column) -> tuple[DataFrame, DataFrame]:
         edges = staged_once(spark, f"{name}_edges", sf,
-                            lambda: _part_edges(_part_pairs(spark, sf, where)))
+                            lambda: _part_edges(_month_pairs(spark, sf, where)))
         nodes = staged_once(spark, f"{name}_nodes", sf, lambda: _part_nodes(edges))
         return nodes, edges
 
-    day = F.col("o_orderdate")
-    return (one("s1", day < F.lit(CUT).cast("timestamp")),
-            one("s2", day >= F.lit("1994-01-01").cast("timestamp")))
-
-
-# --- nation graph: each supplier nation and its two heaviest customer nations --------------
-
-NATIONS = """
-WITH RECURSIVE flows AS (
-  SELECT s_nationkey AS source, c_nationkey AS target, count(*) AS w
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
-       JOIN customer ON c_custkey = o_custkey
-  WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
-e AS (
-  SELECT source, target FROM (
-    SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY w DESC, target) AS rn
-    FROM flows) WHERE rn <= 2),
+    day = F.dayofmonth("o_orderdate")
+    return one("s1", day <= 20), one("s2", day > 10)
+
+
+# --- region graph: all flows of goods between regions -------------------------------------------
+
+REGIONS = """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT s.n_regionkey AS source, c.n_regionkey AS target
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation s ON s.n_nationkey = s_nationkey
+       JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+       JOIN nation c ON c.n_nationkey = c_nationkey
+  WHERE s.n_regionkey <> c.n_regionkey),
 n AS (SELECT source AS id FROM e UNION SELECT target FROM e)
 """
 
 
-def nations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     def build() -> DataFrame:
-        flows = (
-            table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-            .join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
-                                                      F.col("s_nationkey").alias("source")), "l_suppkey")
-            .join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"),
-                                                    F.col("o_custkey").alias("c_custkey")), "l_orderkey")
-            .join(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("target")),
-                  "c_custkey")
-            .where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("w")))
-        best = Window.partitionBy("source").orderBy(F.col("w").desc(), "target")
-        return flows.withColumn("rn", F.row_number().over(best)).where("rn <= 2").select(
-            F.lit("nations").alias("repo"), F.col("source").cast("long").alias("source"),
-            F.col("target").cast("long").alias("target"),
-            F.lit("module").alias("import_type"),
-            F.array((F.col("source") + 1).cast("int")).alias("line_numbers"))
-
-    edges = staged_once(spark, "nation_edges", sf, build)
+        nation = table(spark, sf, "nation")
+        sellers = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+            F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").cast("long").alias("source"))
+        buyers = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+            F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").cast("long").alias("target"))
+        orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(
+            buyers, "o_custkey")
+        return (
+            table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(sellers, "l_suppkey")
+            .join(orders, "l_orderkey").where("source <> target").select("source", "target").distinct()
+            .select(F.lit("regions").alias("repo"), "source", "target", F.lit("module").alias("import_type"),
+                    F.array((F.col("source") + 1).cast("int")).alias("line_numbers")))
+
+    edges = staged_once(spark, "region_edges", sf, build)
     nodes = edges.select("repo", F.explode(F.array("source", "target")).alias("id")).distinct(
     ).withColumn("node_type", F.lit("module")).withColumn("file_path", F.col("id").cast("string"))
     return nodes, edges

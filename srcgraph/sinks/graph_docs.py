@@ -1,8 +1,8 @@
 """Graph export: JSON, GraphML and GEXF documents as ordered text lines.
 
-A graph of ordinary size is one document per repo.  A larger one becomes several
-documents, each well formed and of bounded size, with its nodes and edges spread
-over them by hash; readers take all documents of a repo together.
+A graph is one document per repo.  With ``limit`` it becomes several documents of that
+many rows on average, each well formed, with its nodes and edges spread over them by
+hash; readers take all documents of a repo together.
 """
 
 from __future__ import annotations
@@ -28,12 +28,8 @@ def _joined_lines(edges: DataFrame) -> Column:
     return F.array_join(F.transform("line_numbers", lambda x: x.cast("string")), ",")
 
 
-# rows that one document holds at most (on average)
-ROWS_PER_DOCUMENT = 1_000_000
-
-
 def _document(nodes: DataFrame, edges: DataFrame, node_line: Column, edge_line: Column,
-              head: list[str], middle: list[str], tail: list[str], limit: int) -> DataFrame:
+              head: list[str], middle: list[str], tail: list[str], limit: int | None) -> DataFrame:
     """Lines with their place: ``repo, part, section, key, value``."""
     n = nodes.select("repo", F.lit(1).alias("section"), F.col("id").cast("string").alias("key"),
                      node_line.alias("value"))
@@ -41,7 +37,7 @@ def _document(nodes: DataFrame, edges: DataFrame, node_line: Column, edge_line:
         "\x00", F.col("source").cast("string"), F.col("target").cast("string")).alias("key"),
         edge_line.alias("value"))
     sizes = nodes.select("repo").unionByName(edges.select("repo")).groupBy("repo").agg(
-        F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("parts"))
+        (F.lit(1) if limit is None else F.ceil(F.count(F.lit(1)) / limit)).cast("int").alias("parts"))
     body = n.unionByName(e).join(sizes, "repo").select(
         "repo", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "section", "key",
         "value")
@@ -53,7 +49,7 @@ def _document(nodes: DataFrame, edges: DataFrame, node_line: Column, edge_line:
     return body.unionByName(frame)
 
 
-def graphml_lines(nodes: DataFrame, edges: DataFrame, limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
+def graphml_lines(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     def data(key: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f'<data key="{key}">'), escape_xml(value),
                                    F.lit("</data>")), F.lit(""))
@@ -80,7 +76,7 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame, limit: int = ROWS_PER_DOCU
     return _document(nodes, edges, node, edge, head, [], ["</graph>", "</graphml>"], limit)
 
 
-def gexf_lines(nodes: DataFrame, edges: DataFrame, limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
+def gexf_lines(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     def att(key: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f'<attvalue for="{key}" value="'), escape_xml(value),
                                    F.lit('" />')), F.lit(""))
@@ -112,7 +108,7 @@ def gexf_lines(nodes: DataFrame, edges: DataFrame, limit: int = ROWS_PER_DOCUMEN
 
 
 def json_lines(nodes: DataFrame, edges: DataFrame, metadata: DataFrame | None = None,
-               limit: int = ROWS_PER_DOCUMENT) -> DataFrame:
+               limit: int | None = None) -> DataFrame:
     """The JSON document; ``metadata`` has ``repo, project_path, total_files, total_imports``."""
     opts = {"ignoreNullFields": "false"}
 
@@ -132,7 +128,7 @@ def json_lines(nodes: DataFrame, edges: DataFrame, metadata: DataFrame | None =
             "project_path", "total_files", "total_imports"), opts).alias("meta"))
     value = (
         F.when(F.col("section") == 4, F.concat("value", F.coalesce("meta", F.lit("{}")), F.lit("}")))
-        .when(F.col("key") == F.col("first"), F.substring("value", 2, 1 << 30))
+        .when(F.col("key") == F.col("first"), F.expr("substring(value, 2)"))
         .otherwise(F.col("value")))
     return doc.join(first, place, "left").join(meta, "repo", "left").select(
         *place, "key", value.alias("value"))

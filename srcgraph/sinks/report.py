@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def report_rows(metrics: DataFrame, cycles: DataFrame, isolated: DataFrame) -> DataFrame:
-    """The report of each repo as a nested row.
+def report_rows(metrics: DataFrame, cycles: DataFrame, isolated: DataFrame,
+                first: int | None = None) -> DataFrame:
+    """The report of each repo as a nested row, with its cycles and isolated modules.
 
-    Cycle and isolated-module lists can be long, so they stay tables; the report
-    carries their counts and the first entries of each.
+    ``first`` keeps that many entries of either list; the counts are always whole.
     """
     from srcgraph.operators.cycles import first_cycles
     from srcgraph.operators.metrics import top_by
 
-    rings = first_cycles(cycles, 100).groupBy("repo").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "cycle"))), lambda x: x["cycle"])
+    rings = cycles if first is None else first_cycles(cycles, first)
+    rings = rings.groupBy("repo").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("length", "cycle"))), lambda x: x["cycle"])
         .alias("circular_dependencies"))
-    alone = top_by(isolated.withColumn("one", F.lit(1)), "one", 100).groupBy("repo").agg(
+    alone = isolated if first is None else top_by(isolated.withColumn("one", F.lit(1)), "one", first)
+    alone = alone.groupBy("repo").agg(
         F.array_sort(F.collect_list("id")).alias("isolated_modules"))
     return metrics.join(rings, "repo", "left").join(alone, "repo", "left").select(
         "repo", "total_files", "total_imports", "circular_dependencies",

@@ -32,16 +32,17 @@ def delete_analysis(spark: SparkSession, root: str, analysis_id: str) -> None:
         drop_path(spark, f"{root}/{name}/analysis_id={analysis_id}")
 
 
-def expired(analyses: DataFrame, days: int) -> DataFrame:
-    """Ids of snapshots older than the given days."""
-    limit = F.current_timestamp() - F.make_dt_interval(F.lit(days))
+def expired(analyses: DataFrame, days: int, now: str | None = None) -> DataFrame:
+    """Ids of snapshots older than the given days (counted from ``now``, default the present)."""
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    limit = at - F.make_dt_interval(F.lit(days))
     return analyses.where(F.col("saved_at") < limit).select("analysis_id")
 
 
-def expire_analyses(spark: SparkSession, root: str, days: int = 7) -> int:
+def expire_analyses(spark: SparkSession, root: str, days: int = 7, now: str | None = None) -> int:
     """Delete snapshots older than the given days; the number deleted."""
     count = 0
-    for row in expired(spark.read.parquet(f"{root}/analyses"), days).toLocalIterator():
+    for row in expired(spark.read.parquet(f"{root}/analyses"), days, now).toLocalIterator():
         delete_analysis(spark, root, row.analysis_id)
         count += 1
     return count

@@ -97,8 +97,12 @@ def scan_files(
     folder of checkouts becomes a portfolio.  Only supported extensions are read,
     plus project configs; ``all_files`` keeps everything but the ignored ones.
     """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if not all_files:  # at the listing, so that other files are never opened
+        wanted = [f"*{e}" for e in supported_extensions()] + CONFIG_FILES
+        reader = reader.option("pathGlobFilter", "{" + ",".join(wanted) + "}")
     raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        reader.load(root)
         .select("path", "modificationTime", "length", "content"))
     base = re.sub(r"^[a-z]+:/*", "", root).strip("/")
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""),

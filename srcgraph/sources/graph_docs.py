@@ -38,17 +38,23 @@ def _repo() -> Column:
 def default_attrs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fill absent attributes, keep known external kinds only, add missing end nodes.
 
-    Duplicate nodes and edges collapse to one row.
+    Of duplicate nodes and edges one record counts: the one with the most attributes, then the
+    greatest in the order of its columns.
     """
+    def one(*names: str) -> Column:
+        row = F.struct(*names)
+        known = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
+        return F.max_by(row, F.struct(known, row))
+
     edges = edges.where(
         "source IS NOT NULL AND source <> '' AND target IS NOT NULL AND target <> ''"
-    ).groupBy("repo", "source", "target").agg(
-        F.coalesce(F.min("import_type"), F.lit("module")).alias("import_type"),
-        F.coalesce(F.max("line_numbers"), F.array().cast("array<int>")).alias("line_numbers"))
-    named = nodes.groupBy("repo", "id").agg(
-        F.coalesce(F.min("node_type"), F.lit("module")).alias("node_type"),
-        F.coalesce(F.min("file_path"), F.col("id")).alias("file_path"),
-        F.min(F.when(F.col("external_kind").isin("stdlib", "package"), F.col("external_kind")))
+    ).groupBy("repo", "source", "target").agg(one("import_type", "line_numbers").alias("x")).select(
+        "repo", "source", "target", F.coalesce("x.import_type", F.lit("module")).alias("import_type"),
+        F.coalesce("x.line_numbers", F.array().cast("array<int>")).alias("line_numbers"))
+    named = nodes.groupBy("repo", "id").agg(one("node_type", "file_path", "external_kind").alias("x")).select(
+        "repo", "id", F.coalesce("x.node_type", F.lit("module")).alias("node_type"),
+        F.coalesce("x.file_path", F.col("id")).alias("file_path"),
+        F.when(F.col("x.external_kind").isin("stdlib", "package"), F.col("x.external_kind"))
         .alias("external_kind"))
     ends = edges.select("repo", F.explode(F.array("source", "target")).alias("id")).distinct()
     extra = ends.join(named, ["repo", "id"], "left_anti").select(

@@ -96,9 +96,19 @@ class Stage:
 _shared: dict[tuple, tuple] = {}
 
 
+def _version(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of what lies in a folder."""
+    fs, hpath = _filesystem(spark, folder)
+    if not fs.exists(hpath):
+        return ""
+    return ";".join(sorted(
+        f"{s.getPath().getName()},{s.getLen()},{s.getModificationTime()}" for s in fs.listStatus(hpath)))
+
+
 def staged_once(spark: SparkSession, name: str, key: str, build) -> DataFrame:
-    """A derived table several queries use, written on first use in a session."""
-    slot = (spark.sparkContext.applicationId, name, key)
+    """A table derived from the folder ``key`` that several queries use, written on first use in a
+    session and again when the folder's files change."""
+    slot = (spark.sparkContext.applicationId, name, key, _version(spark, key))
     if slot not in _shared or not path_exists(spark, _shared[slot][0]):
         df = build()
         path, _ = Stage(spark, name).write(df)

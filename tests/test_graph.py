@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from srcgraph.operators import centrality, components, cycles, impact, metrics, spectral, traverse
+from srcgraph.operators import (
+    centrality, components, cycles, explore, impact, metrics, spectral, traverse)
 
 
 def graph(spark, *repos):
@@ -114,14 +115,14 @@ def test_many_origins_match_plain_search(spark):
         want[i] = (r - 1) / total * (r - 1) / 149 if total else 0
     got = table(centrality.closeness(n, e), "id", value="closeness")
     assert all(got[i,] == pytest.approx(want[i]) for i in range(150))
-    assert {r.closeness for r in centrality.closeness(n, e, max_nodes=100).collect()} == {0.0}
 
 
-def test_unconverged_falls_back(spark):
+def test_unconverged_is_told(spark):
     n, e = graph(spark, CHAIN)
-    assert {r.pagerank for r in spectral.pagerank(n, e, max_iter=1, tol=1e-12).collect()} == {1 / 3}
-    got = table(spectral.eigenvector(n, e, max_iter=1, tol=1e-12), "id", value="eigenvector")
-    assert got == {("a.py",): 0.0, ("b.py",): 1.0, ("c.py",): 1.0}
+    with pytest.raises(ValueError, match="converged"):
+        spectral.pagerank(n, e, max_iter=1, tol=1e-12)
+    got = spectral.eigenvector(n, e, max_iter=1, tol=1e-12).collect()
+    assert {r.converged for r in got} == {False}
 
 
 def test_empty(spark):
@@ -215,3 +216,51 @@ def test_match_target(spark):
                                 "repo STRING, argument STRING")
     assert table(impact.match_target(n, ask), "argument", value="id") == {
         ("a/x.py",): "src/a/x.py", ("x.py",): "x.py", ("/abs/lib/y.py",): "lib/y.py"}
+
+
+def test_closeness_and_betweenness_of_a_large_graph(spark):
+    # a line of 2500 nodes: both are whole above any number of nodes
+    n = spark.range(2500).selectExpr("'r' AS repo", "id", "'module' AS node_type")
+    e = spark.range(2499).where("id % 50 <> 49").selectExpr(
+        "'r' AS repo", "id AS source", "id + 1 AS target")
+    close = table(centrality.closeness(n, e), "id", value="closeness")
+    assert close[0,] == pytest.approx(49 / sum(range(50)) * 49 / 2499)
+    between = table(centrality.betweenness(n, e), "id", value="betweenness")
+    assert between[2451,] == pytest.approx(1 * 48 / 2499 / 2498)
+
+
+def test_chains_from_late_entries(spark):
+    # only the last of ten entries reaches the target
+    pairs = [(f"e{i}", f"x{i}") for i in range(9)] + [("e9", "t")]
+    ids = sorted({x for p in pairs for x in p})
+    n, e = graph(spark, ("r", ids, pairs))
+    want = spark.createDataFrame([("r", "t")], "repo STRING, id STRING")
+    got = impact.dependency_chains(n, e, want, k=3).collect()
+    assert [(r.rank, r.chain) for r in got] == [(1, ["e9", "t"])]
+
+
+def test_removal_by_brute_force(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "c"), ("a", "e"), ("e", "d"), ("f", "b"), ("g", "h"), ("h", "g")]
+    ids = list("abcdefgh")
+    n, e = graph(spark, ("r", ids, pairs))
+    got = {(r.target, r.kind, r.id) for r in impact.simulate_removal(n, e, n.select("repo", "id")).collect()}
+    want = set()
+    for gone in ids:
+        rest = [p for p in pairs if gone not in p]
+        left = [i for i in ids if i != gone]
+        seen = {i for i in left if i not in {b for _, b in rest}}
+        while True:
+            more = {b for a, b in rest if a in seen} - seen
+            if not more:
+                break
+            seen |= more
+        want |= {(gone, "orphaned_file", i) for i in left if i not in seen}
+        want |= {(gone, "broken_import", a) for a, b in pairs if b == gone}
+    assert got == want
+
+
+def test_search_limit_is_per_repo(spark):
+    n = spark.createDataFrame([(f"r{i}", f"p{j}", f"p{j}", f"src/p{j}") for i in range(3) for j in range(9)],
+                              "repo STRING, id STRING, label STRING, file_path STRING")
+    got = explore.node_search(n, "p", limit=4).groupBy("repo").count().collect()
+    assert {(r.repo, r["count"]) for r in got} == {("r0", 4), ("r1", 4), ("r2", 4)}
