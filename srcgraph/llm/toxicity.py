@@ -100,13 +100,21 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 10_000,
 
     ratio = 2 * (part(F.col("toxic"), seen * share) + part(F.col("clean"), seen * (1 - share)))
     picked = (counted.where((F.col("stem") != "") & (F.col("toxic") >= 3)
-                            & (F.col("toxic") * n0 > F.col("clean") * n1 * 20))
+                            & (F.col("toxic") * n0 > F.col("clean") * n1 * 6))
               .withColumn("ratio", ratio).where(F.col("ratio") > 22.0)
               .orderBy(F.desc("ratio"), F.length("stem"), "stem").limit(size).collect())
+    count = {r["stem"]: r["toxic"] for r in picked}
+    # a beginning gives way to a longer one that nearly all of its documents have: that one says more
+    follow = {stem: [] for stem in count}
+    for stem in count:
+        for n in STEMS:
+            if n < len(stem) and stem[:n] in follow:
+                follow[stem[:n]].append(stem)
+    general = {u for u in count if any(count[v] >= 0.9 * count[u] for v in follow[u])}
     weights: dict[str, float] = {}
     for r in sorted(picked, key=lambda r: (len(r["stem"]), r["stem"])):
         stem = r["stem"]
-        if not any(stem[:n] in weights for n in STEMS if n < len(stem)):
+        if stem not in general and not any(stem[:n] in weights for n in STEMS if n < len(stem)):
             weights[stem] = float(np.log((r["toxic"] + 0.5) / (n1 + 1)) - np.log((r["clean"] + 0.5) / (n0 + 1)))
     if not weights:
         return empty
