@@ -128,7 +128,7 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _trim(stage: Stage, links: DataFrame, n: int) -> tuple[DataFrame, dict]:
-    """Peel edges off the acyclic fringe until a round removes less than a tenth."""
+    """Peel edges off the acyclic fringe until a round removes next to nothing."""
     while True:
         has_in = links.select("repo", F.col("target").alias("source")).distinct()
         has_out = links.select("repo", F.col("source").alias("target")).distinct()
@@ -138,7 +138,7 @@ def _trim(stage: Stage, links: DataFrame, n: int) -> tuple[DataFrame, dict]:
             .join(has_out, ["repo", "target"], "left_semi"),
             n=F.count(F.lit(1)))
         stage.drop(old)
-        if not got["n"] or got["n"] > 0.9 * n:
+        if not got["n"] or got["n"] > 0.98 * n:
             return links, got
         n = got["n"]
 

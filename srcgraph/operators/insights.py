@@ -57,6 +57,7 @@ def issues(metrics: DataFrame) -> DataFrame:
 
 def recommendations(metrics: DataFrame) -> DataFrame:
     """Recommendation rows: ``repo, category, priority, title, description``."""
+    # fixed values: titles and sentences of the recommendations
     def row(category: str, priority: str, title: str, description: Column) -> Column:
         return F.struct(F.lit(category).alias("category"), F.lit(priority).alias("priority"),
                         F.lit(title).alias("title"), description.alias("description"))

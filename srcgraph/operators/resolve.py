@@ -21,43 +21,55 @@ from srcgraph.stage import Stage
 JS_SUFFIXES = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
 
 # fixed values: top-level names of the Python standard library
-PYTHON_STDLIB = """
-abc aifc argparse array ast asynchat asyncio asyncore base64 bdb binascii bisect builtins bz2
-calendar cgi cgitb chunk cmath cmd code codecs codeop collections colorsys compileall concurrent
-configparser contextlib contextvars copy copyreg cProfile crypt csv ctypes curses dataclasses
-datetime dbm decimal difflib dis distutils doctest email encodings enum errno faulthandler fcntl
-filecmp fileinput fnmatch fractions ftplib functools gc getopt getpass gettext glob graphlib grp
-gzip hashlib heapq hmac html http idlelib imaplib imghdr imp importlib inspect io ipaddress
-itertools json keyword lib2to3 linecache locale logging lzma mailbox mailcap marshal math mimetypes
-mmap modulefinder multiprocessing netrc nis nntplib numbers operator optparse os ossaudiodev pathlib
-pdb pickle pickletools pipes pkgutil platform plistlib poplib posix posixpath pprint profile pstats
-pty pwd py_compile pyclbr pydoc queue quopri random re readline reprlib resource rlcompleter runpy
-sched secrets select selectors shelve shlex shutil signal site smtpd smtplib sndhdr socket
-socketserver spwd sqlite3 ssl stat statistics string stringprep struct subprocess sunau sunaudio
-symtable sys sysconfig syslog tabnanny tarfile telnetlib tempfile termios test textwrap threading
-time timeit tkinter token tokenize trace traceback tracemalloc tty turtle turtledemo types typing
-unicodedata unittest urllib uu uuid venv warnings wave weakref webbrowser winreg winsound wsgiref
-xdrlib xml xmlrpc zipapp zipfile zipimport zlib _thread
-""".split()
+PYTHON_STDLIB = [
+    "abc", "aifc", "argparse", "array", "ast", "asynchat", "asyncio", "asyncore", "base64", "bdb",
+    "binascii", "bisect", "builtins", "bz2", "calendar", "cgi", "cgitb", "chunk", "cmath", "cmd",
+    "code", "codecs", "codeop", "collections", "colorsys", "compileall", "concurrent",
+    "configparser", "contextlib", "contextvars", "copy", "copyreg", "cProfile", "crypt", "csv",
+    "ctypes", "curses", "dataclasses", "datetime", "dbm", "decimal", "difflib", "dis", "distutils",
+    "doctest", "email", "encodings", "enum", "errno", "faulthandler", "fcntl", "filecmp",
+    "fileinput", "fnmatch", "fractions", "ftplib", "functools", "gc", "getopt", "getpass",
+    "gettext", "glob", "graphlib", "grp", "gzip", "hashlib", "heapq", "hmac", "html", "http",
+    "idlelib", "imaplib", "imghdr", "imp", "importlib", "inspect", "io", "ipaddress", "itertools",
+    "json", "keyword", "lib2to3", "linecache", "locale", "logging", "lzma", "mailbox", "mailcap",
+    "marshal", "math", "mimetypes", "mmap", "modulefinder", "multiprocessing", "netrc", "nis",
+    "nntplib", "numbers", "operator", "optparse", "os", "ossaudiodev", "pathlib", "pdb", "pickle",
+    "pickletools", "pipes", "pkgutil", "platform", "plistlib", "poplib", "posix", "posixpath",
+    "pprint", "profile", "pstats", "pty", "pwd", "py_compile", "pyclbr", "pydoc", "queue", "quopri",
+    "random", "re", "readline", "reprlib", "resource", "rlcompleter", "runpy", "sched", "secrets",
+    "select", "selectors", "shelve", "shlex", "shutil", "signal", "site", "smtpd", "smtplib",
+    "sndhdr", "socket", "socketserver", "spwd", "sqlite3", "ssl", "stat", "statistics", "string",
+    "stringprep", "struct", "subprocess", "sunau", "sunaudio", "symtable", "sys", "sysconfig",
+    "syslog", "tabnanny", "tarfile", "telnetlib", "tempfile", "termios", "test", "textwrap",
+    "threading", "time", "timeit", "tkinter", "token", "tokenize", "trace", "traceback",
+    "tracemalloc", "tty", "turtle", "turtledemo", "types", "typing", "unicodedata", "unittest",
+    "urllib", "uu", "uuid", "venv", "warnings", "wave", "weakref", "webbrowser", "winreg",
+    "winsound", "wsgiref", "xdrlib", "xml", "xmlrpc", "zipapp", "zipfile", "zipimport", "zlib",
+    "_thread",
+]
 
 # fixed values: modules built into Node
-NODE_BUILTIN = """
-assert async_context async_hooks buffer child_process cluster console crypto dgram
-diagnostics_channel dns domain events fs globals http http2 https inspector intl module net os path
-perf_hooks permissions process querystring readline repl report sqlite stream string_decoder test
-timers tls tracing tty url util v8 vm wasi webcrypto webstreams worker_threads zlib
-""".split()
+NODE_BUILTIN = [
+    "assert", "async_context", "async_hooks", "buffer", "child_process", "cluster", "console",
+    "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs", "globals", "http",
+    "http2", "https", "inspector", "intl", "module", "net", "os", "path", "perf_hooks",
+    "permissions", "process", "querystring", "readline", "repl", "report", "sqlite", "stream",
+    "string_decoder", "test", "timers", "tls", "tracing", "tty", "url", "util", "v8", "vm", "wasi",
+    "webcrypto", "webstreams", "worker_threads", "zlib",
+]
 
 # fixed values: package prefixes of the Java platform (sub-packages are covered by their prefix)
-JAVA_PREFIXES = """
-java.applet java.awt java.beans java.io java.lang java.math java.net java.nio java.rmi java.security
-java.sql java.text java.time java.util javax.accessibility javax.annotation javax.imageio javax.jws
-javax.lang.model javax.management javax.naming javax.net javax.print javax.script
-javax.security.auth javax.security.cert javax.security.sasl javax.smartcardio javax.sound.midi
-javax.sound.sampled javax.sql javax.swing javax.tools javax.transaction javax.xml jdk.dynalink
-jdk.incubator.concurrent jdk.incubator.vector jdk.javadoc.doclet jdk.jshell jdk.management jdk.net
-jdk.nio.mapmode jdk.security.auth.module
-""".split()
+JAVA_PREFIXES = [
+    "java.applet", "java.awt", "java.beans", "java.io", "java.lang", "java.math", "java.net",
+    "java.nio", "java.rmi", "java.security", "java.sql", "java.text", "java.time", "java.util",
+    "javax.accessibility", "javax.annotation", "javax.imageio", "javax.jws", "javax.lang.model",
+    "javax.management", "javax.naming", "javax.net", "javax.print", "javax.script",
+    "javax.security.auth", "javax.security.cert", "javax.security.sasl", "javax.smartcardio",
+    "javax.sound.midi", "javax.sound.sampled", "javax.sql", "javax.swing", "javax.tools",
+    "javax.transaction", "javax.xml", "jdk.dynalink", "jdk.incubator.concurrent",
+    "jdk.incubator.vector", "jdk.javadoc.doclet", "jdk.jshell", "jdk.management", "jdk.net",
+    "jdk.nio.mapmode", "jdk.security.auth.module",
+]
 
 _JAVA_RX = "^(" + "|".join(p.replace(".", r"\.") for p in JAVA_PREFIXES) + r")(\.|$)"
 PATHS = "array<string>"
