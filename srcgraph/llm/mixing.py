@@ -186,10 +186,10 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     draws = keyed.join(taken, "__row").withColumn("__draw", F.explode(F.expr(
         "sequence(0L, cast((__taken + __size - 1) div __size as long) - 1)")))
     words = F.least(F.col("__size"), F.col("__taken") - F.col("__draw") * F.col("__size"))
-    # the first words of a text, with the white space between them
+    # the first words of a text, with the white space before each
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.when(words >= F.col("__size"), F.col("text")).otherwise(
-        F.expr(r"regexp_extract(text, concat('^([\\x20\\x09-\\x0D]*([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){', cast("
-               "least(__size, __taken - __draw * __size) as string), '})'), 1)"))
+        F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), ""))
     out = draws.withColumn("__text", head).withColumn(
         "__shard", F.coalesce(F.try_element_at("__shards", (F.col("__draw") + 1).cast("int")), F.lit(0)))
     keep = [F.col("__text").alias("text") if c == "text"
