@@ -10,6 +10,7 @@ from srcgraph.plans.registry import query
 from srcgraph.plans.views import PARTS, REGIONS, parts, regions
 from srcgraph.stage import staged_once
 
+# rounds of the SQL twin; the queries run to the tolerance, so they differ where a month needs more or fewer
 ROUNDS = 10
 
 
@@ -69,7 +70,7 @@ hits AS (SELECT origin, id, min(dist) AS dist FROM hop WHERE id <> origin GROUP
 def _rank(spark, sf):
     """The scores that several queries read, computed once per session."""
     return staged_once(spark, "part_rank", sf, lambda: spectral.pagerank(
-        *parts(spark, sf), max_iter=ROUNDS, tol=None).withColumn("pagerank", F.round("pagerank", 12)))
+        *parts(spark, sf)).withColumn("pagerank", F.round("pagerank", 12)))
 
 
 def _asked(nodes):
@@ -99,7 +100,7 @@ def labels(spark, sf):
 
 @query("pagerank", PARTS + "," + RANK + " SELECT id, round(r, 9) AS pagerank FROM pr")
 def pagerank(spark, sf):
-    return spectral.pagerank(*parts(spark, sf), max_iter=ROUNDS, tol=None).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return spectral.pagerank(*parts(spark, sf)).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query("hub_modules", PARTS + "," + RANK + """
@@ -131,7 +132,7 @@ v{i + 1} AS MATERIALIZED (SELECT repo, id, y / sqrt(sum(y * y) OVER (PARTITION B
 
 @query("eigenvector", PARTS + "," + _eigen_sql(8))
 def eigenvector(spark, sf):
-    return spectral.eigenvector(*parts(spark, sf), max_iter=8, tol=None).select(
+    return spectral.eigenvector(*parts(spark, sf)).select(
         "id", F.round("eigenvector", 8).alias("eigenvector"))
 
 
