@@ -4,8 +4,9 @@ Every string that could be a secret is compressed by zstandard primed with a dic
 list of common identifiers and of the text around the string.  The *marginal* size is the compressed
 size of context and candidate less that of the context alone.  A candidate in a sensitive context
 whose marginal bytes are close to its own length tells nothing the code around it explains: it is
-reported as a ``novel`` span.  Spans of the base patterns (``assign``, ``access``, ``hex``) are
-always reported; a novel span never overlaps them.
+reported as a ``novel`` span.  The context goes on from a reported string to those that follow it
+directly (next line, part after a dot) and over the lines of a private key.  Spans of the base patterns (``assign``, ``access``, ``hex``) are
+always reported; a novel span never overlaps them: what they leave of a candidate is measured.
 
 Defined results: null and empty texts have no spans and the hash of an empty list; texts are scanned
 whole, in one pass; repeated rows give repeated results; other columns of the input are ignored.
@@ -34,6 +35,16 @@ ASSIGN_MIN, ACCESS_MIN = 12, 18
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(
     r"(?ai:key|secret|token|passw|pwd|auth|bearer|credential|private|signature|login|cert)")
+#: Least length of a candidate.
+LEAST = 16
+#: What may stand between the lines or the parts of one secret: a line break or a dot, with blanks, quotes
+#: and marks of comments or joined strings around.
+_FILL = r"""[\x20\t"'\\,;>|*#]*"""
+GAP = re.compile(rf"(?:(?<=[A-Za-z0-9+/_=.-]){_FILL}(?:\.|\r?\n|\r|\\)(?:{_FILL}(?:\r?\n|\+\x20))*{_FILL})\Z")
+MOST_GAP = 64
+#: A private key in lines, up to its end mark; its last line where that is shorter than a candidate.
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*KEY[A-Z ]*-----(?:(?!-----(?:BEGIN|END)).)*(?=-----END)", re.DOTALL)
+KEY_TAIL = re.compile(r"(?:\r?\n|\\n)[\x20\t]*([A-Za-z0-9+/=]{1,15})(?=\s*(?:\\n)?-----END)")
 #: Identifiers and words of source code that prime every dictionary.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key client_id "
@@ -71,27 +82,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, base: list[tuple[int, int, int]], around: int, context: int,
                 least_ratio: float) -> list[tuple[int, int, int]]:
     """Candidates in a sensitive context that their surroundings don't explain."""
-    taken = sorted((s, e) for s, e, _ in base)
+    taken: list[list[int]] = []  # what the base spans cover, in order
+    for s, e, _ in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(e, taken[-1][1])
+        else:
+            taken.append([s, e])
+    # after these a secret may go on: base spans that name one, and every accepted candidate
+    goes_on = {e for _, e, kind in base if kind != 2}
+    names = {s for s, _, kind in base if kind == 0}
+    keys = [m.span() for m in KEY_BLOCK.finditer(text)] if "-----BEGIN" in text else []
     found = []
-    at = 0
-    reach = 0  # largest end of the base spans before the candidate
+    at = block = 0
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        while at < len(taken) and taken[at][0] < e:
-            reach = max(reach, taken[at][1])
+        while at < len(taken) and taken[at][1] <= s:
             at += 1
-        if reach > s:
+        while block < len(keys) and keys[block][1] <= s:
+            block += 1
+        inside = block < len(keys) and keys[block][0] <= s
+        gap = GAP.search(text, max(0, s - MOST_GAP), s)
+        if not (inside or gap and gap.start() in goes_on or SENSITIVE.search(text, max(0, s - context), s)):
             continue
-        value = m.group()
-        kinds = (any(c.isdigit() for c in value) + any(c.islower() for c in value)
-                 + any(c.isupper() for c in value))
-        if kinds < 2 or not SENSITIVE.search(text, max(0, s - context), s):
-            continue
-        raw = value.encode()
-        added = marginal_bytes(raw, text[max(0, s - around):s].encode("utf-8", "replace"),
-                               text[e:e + around].encode("utf-8", "replace"))
-        if added >= least_ratio * len(raw):
-            found.append((s, e, 3))
+        parts = []
+        now, i = s, at
+        while i < len(taken) and taken[i][0] < e:
+            # what stands before an assignment is the rest of its name, unless it is a candidate itself
+            if taken[i][0] > now and (taken[i][0] not in names or taken[i][0] - now >= LEAST):
+                parts.append((now, taken[i][0]))
+            now = max(now, taken[i][1])
+            i += 1
+        if now < e:
+            parts.append((now, e))
+        for a, b in parts:
+            raw = text[a:b].encode()
+            added = marginal_bytes(raw, text[max(0, a - around):a].encode("utf-8", "replace"),
+                                   text[b:b + around].encode("utf-8", "replace"))
+            if added >= least_ratio * len(raw):
+                found.append((a, b, 3))
+                goes_on.add(b)
+        if e in goes_on:
+            tail = KEY_TAIL.match(text, e)
+            if tail:
+                found.append((*tail.span(1), 3))
     return found
 
 
