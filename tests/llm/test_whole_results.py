@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from srcgraph.llm import extract_html, secrets
+from srcgraph.llm import extract_html, ngram_join, secrets
 
 PARAGRAPHS = [f"Paragraph {i} of the story, with some words that make it an ordinary one." for i in range(20)]
 
@@ -64,3 +64,18 @@ def test_runs_of_one_kind_and_what_base_spans_leave():
     clean = secrets.redact_text(f"auth key: {left}{'0a1b2c3d4e5f6789'}{right} end")
     assert left not in clean and right not in clean
     assert secrets.redact_text('my_password = "abcdefghijkl"') == 'my_[secret]"'
+
+
+def test_one_row_of_each_component_stays(spark):
+    words = [f"word{i}" for i in range(60)]
+    near = [" ".join([*words[:k], "other", *words[k:]]) for k in (0, 60)]
+    alone = "a text of its own that nothing else is like"
+    rows = [
+        (None, "copies without an id stay once only", "a"), (None, "copies without an id stay once only", "b"),
+        (None, "copies without an id stay once only", "a"),
+        (7, near[0], "a"), (7, near[1], "a"), (None, near[0], "a"),  # near copies with the same smallest id
+        (9, alone, "a"), (9, alone, "a"), (3, None, "a"), (3, None, "a"), (None, "", "a")]
+    kept = ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")).collect()
+    assert [sum(bool(r.text) and r.text.startswith(t) for r in kept) for t in ("copies", "a text")] == [1, 1]
+    assert sum(r.doc_id == 7 for r in kept) == 1 and not any(r.doc_id is None and r.text in near for r in kept)
+    assert sum(not r.text for r in kept) == 3 and len(kept) == 6
