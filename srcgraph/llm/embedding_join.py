@@ -9,12 +9,12 @@ That number is calibrated on the training sample: every sampled vector is turned
 the link's least cosine, the hardest case, and the visits must reach the noisy vector's cell for the
 target share of them.  A pair is found if either of its vectors visits the other's cell.
 
-The codebooks are fitted on a bounded sample (``sample`` vectors, in hash order); all vectors are
-indexed and all visit.  Equal vectors of a label are one class; their copies are counted, not paired.
+Every length of vectors has its own codebooks and visits, fitted on a bounded sample (``sample``
+vectors of the length, in hash order); all vectors are indexed and all visit, within their length.
+Vectors of one component have no halves: those of a label with the same sign are copies.  Equal vectors of a label are one class; their copies are counted, not paired.
 Cells and their visitors are compared in blocks of bounded size, so a hot cell spreads over tasks.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
-components, and vectors without a label, link with nothing and are their own component; repeated rows
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and vectors without a label, link with nothing and are their own component; repeated rows
 are copies; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -100,50 +100,58 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
     v = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"),
         F.col("embedding").cast("array<double>").alias("embedding"))
-    whole = (F.col("embedding").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 1)
+    whole = (F.col("embedding").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
              & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
              & F.exists("embedding", lambda x: x != 0))
-    v = v.withColumn("ok", F.coalesce(whole, F.lit(False))).withColumn(
+    v = v.withColumn("ok", F.coalesce(whole, F.lit(False))).withColumn("embedding", F.when(
+        F.col("ok") & (F.size("embedding") == 1), F.transform("embedding", F.signum)).otherwise(F.col("embedding")))
+    v = v.withColumn(
         "key", F.when(F.col("ok"), F.xxhash64("label", "embedding")).otherwise(F.xxhash64(F.lit("x"), "vec_id")))
-    sizes = v.where("ok").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None:
+    widths = [r["n"] for r in v.where("ok").select(F.size("embedding").alias("n")).distinct().collect()]
+    if not widths:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                         F.lit(True).alias("kept"))
-    width = sizes["n"]
-    usable = F.col("ok") & (F.size("embedding") == width)
-    classes, _ = stage.save(v.where(usable).groupBy("key").agg(
+    classes, _ = stage.save(v.where("ok").groupBy("key").agg(
         F.first("label").alias("label"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
-    drawn = classes.orderBy("key").select("embedding").limit(sample).collect()
-    x = unit(np.array([r["embedding"] for r in drawn], dtype=np.float64))
-    half = width // 2
-    k = min(centroids, len(x))
-    books = (fit_codebook(x[:, :half], k), fit_codebook(x[:, half:], k))
-    visits = calibrate(x[:2048], books, least, recall)
+    fitted = {}
+    for width in widths:
+        if width == 1:
+            continue
+        drawn = classes.where(F.size("embedding") == width).orderBy("key").select("embedding").limit(sample).collect()
+        x = unit(np.array([r["embedding"] for r in drawn], dtype=np.float64))
+        half, k = width // 2, min(centroids, len(x))
+        books = (fit_codebook(x[:, :half], k), fit_codebook(x[:, half:], k))
+        fitted[width] = (half, k, books, calibrate(x[:2048], books, least, recall))
 
     def place(batches):
         for b in batches:
-            y = unit(np.array(b.embedding.tolist(), dtype=np.float64)) if len(b) else np.zeros((0, width))
-            d1, d2 = distances(y[:, :half], books[0]), distances(y[:, half:], books[1])
-            yield pd.DataFrame({
-                "key": b.key, "label": b.label, "embedding": b.embedding,
-                "cell": d1.argmin(1) * k + d2.argmin(1),
-                "visits": [[i * k + j for i, j in multi_sequence(d1[r], d2[r], visits)] for r in range(len(b))]})
+            for width, part in b.groupby(b.embedding.map(len)):
+                if width == 1:
+                    yield part.assign(n=1, cell=0, visits=[[0]] * len(part))
+                    continue
+                half, k, books, visits = fitted[width]
+                y = unit(np.array(part.embedding.tolist(), dtype=np.float64))
+                d1, d2 = distances(y[:, :half], books[0]), distances(y[:, half:], books[1])
+                yield part.assign(
+                    n=width, cell=d1.argmin(1) * k + d2.argmin(1),
+                    visits=[[i * k + j for i, j in multi_sequence(d1[r], d2[r], visits)] for r in range(len(part))])
 
     label = classes.schema["label"].dataType.simpleString()
     placed, _ = stage.save(classes.select("key", "label", "embedding").mapInPandas(
-        place, f"key long, label {label}, embedding array<double>, cell long, visits array<long>"))
-    visitors = placed.select("key", "label", "embedding", F.explode("visits").alias("cell"))
-    held = placed.groupBy("label", "cell").agg(F.count("*").alias("held"))
-    come = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(
+        place, f"key long, label {label}, embedding array<double>, n long, cell long, visits array<long>"))
+    visitors = placed.select("key", "label", "embedding", "n", F.explode("visits").alias("cell"))
+    at = ["label", "n", "cell"]
+    held = placed.groupBy(*at).agg(F.count("*").alias("held"))
+    come = placed.select("label", "n", F.explode("visits").alias("cell")).groupBy(*at).agg(
         F.count("*").alias("come"))
-    cells, _ = stage.save(held.join(come, ["label", "cell"]).select(
-        "label", "cell", F.ceil(F.col("held") / BLOCK).alias("rows"), F.ceil(F.col("come") / VISITORS).alias("cols")))
+    cells, _ = stage.save(held.join(come, at).select(
+        *at, F.ceil(F.col("held") / BLOCK).alias("rows"), F.ceil(F.col("come") / VISITORS).alias("cols")))
     # every block of a cell's vectors meets every block of its visitors
-    index = placed.select("key", "label", "embedding", "cell").join(cells, ["label", "cell"]).select(
-        "label", "cell", F.pmod(F.xxhash64("key"), "rows").alias("row"), F.explode(
+    index = placed.select("key", "label", "embedding", "n", "cell").join(cells, at).select(
+        *at, F.pmod(F.xxhash64("key"), "rows").alias("row"), F.explode(
             F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("col"), "key", "embedding")
-    visitors = visitors.join(cells, ["label", "cell"]).select(
-        "label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"),
+    visitors = visitors.join(cells, at).select(
+        *at, F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"),
         F.pmod(F.xxhash64("key"), "cols").alias("col"), "key", "embedding")
     visitors = visitors.select(*[F.col(c).alias(c) for c in visitors.columns])  # names of its own
 
@@ -161,14 +169,14 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
         p, q = lk[i][other], rk[j][other]
         return pd.DataFrame({"a": np.maximum(p, q), "b": np.minimum(p, q)}).drop_duplicates()
 
-    by = ["label", "cell", "row", "col"]
+    by = [*at, "row", "col"]
     links, _ = stage.save(index.groupBy(*by).cogroup(visitors.groupBy(*by)).applyInPandas(
         compare, "a long, b long").distinct())
     roots = components(links, stage)
     both = links.union(links.select("b", "a")).toDF("key", "other")
     around = both.join(classes.select(F.col("key").alias("other"), "copies"), "other").groupBy("key").agg(
         F.sum("copies").alias("around"))
-    own = v.select("vec_id", "key", usable.alias("ok"))
+    own = v.select("vec_id", "key", "ok")
     own = own.join(classes.select("key", "copies"), "key", "left").join(around, "key", "left").join(
         roots.withColumnRenamed("node", "key"), "key", "left")
     own = own.withColumn("root", F.coalesce("root", "key"))

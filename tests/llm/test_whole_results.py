@@ -3,9 +3,10 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 
-from srcgraph.llm import extract_html, ngram_join, secrets
+from srcgraph.llm import embedding_join, extract_html, ngram_join, secrets
 
 PARAGRAPHS = [f"Paragraph {i} of the story, with some words that make it an ordinary one." for i in range(20)]
 
@@ -79,3 +80,20 @@ def test_one_row_of_each_component_stays(spark):
     assert [sum(bool(r.text) and r.text.startswith(t) for r in kept) for t in ("copies", "a text")] == [1, 1]
     assert sum(r.doc_id == 7 for r in kept) == 1 and not any(r.doc_id is None and r.text in near for r in kept)
     assert sum(not r.text for r in kept) == 3 and len(kept) == 6
+
+
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(3)
+    x = {w: [rng.normal(size=w).tolist() for _ in range(n)] for w, n in ((8, 30), (5, 12))}
+    rows = [(100 * w + i, v, 1) for w, vs in x.items() for i, v in enumerate(vs)]
+    rows += [(1000 + r[0], r[1], 1) for r in rows]  # a copy of each
+    rows += [(1, [2.0], 1), (2, [5.0], 1), (3, [-1.0], 1), (4, [1.0], 2), (5, [3.0, 4.0], 1), (6, [3.0, 4.1], 1)]
+    got = {r.vec_id: r for r in embedding_join.link_embeddings(
+        spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>, label INT")).collect()}
+    assert len(got) == len(rows)
+    for w, n in ((8, 30), (5, 12)):
+        for i in range(n):
+            a, b = got[100 * w + i], got[1000 + 100 * w + i]
+            assert a.n_links >= 1 and b.n_links == a.n_links and a.component_id == b.component_id
+    assert [(got[i].n_links, got[i].component_id) for i in range(1, 7)] == [
+        (1, 1), (1, 1), (0, 3), (0, 4), (1, 5), (1, 5)]
