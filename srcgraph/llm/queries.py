@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from srcgraph.llm import (
-    embedding_join, extract_html, merkle, mixing, ngram_join, packing, passage_dedup, secrets, suffix_dedup,
-    toxicity)
+    embedding_join, extract_html, manifest, merkle, mixing, ngram_join, packing, passage_dedup, secrets, suffix_dedup,
+    toxicity, twins)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return passage_dedup.remove_passages(table(spark, sf, "documents")).drop("kept")
+
+
+@query("op12_merkle_manifest", twins.MANIFEST)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest.verify_manifest(table(spark, sf, "documents"))
