@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from srcgraph.llm import (
-    embedding_join, extract_html, manifest, merkle, mixing, ngram_join, packing, passage_dedup, secrets, suffix_dedup,
-    toxicity, twins)
+    embedding_join, extract_html, language_id, manifest, merkle, mixing, ngram_join, packing, passage_dedup, secrets,
+    suffix_dedup, toxicity, twins)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_merkle_manifest", twins.MANIFEST)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.verify_manifest(table(spark, sf, "documents"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return language_id.identify_languages(docs, language_id.fit_languages(docs))
