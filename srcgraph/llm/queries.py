@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from srcgraph.llm import (
     embedding_join, extract_html, language_id, manifest, merkle, mixing, ngram_join, packing, passage_dedup, secrets,
-    suffix_dedup, toxicity, twins)
+    suffix_dedup, toxicity, twins, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,3 +90,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return language_id.identify_languages(docs, language_id.fit_languages(docs))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
