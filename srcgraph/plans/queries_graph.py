@@ -10,33 +10,20 @@ from srcgraph.plans.registry import query
 from srcgraph.plans.views import PARTS, REGIONS, parts, regions
 from srcgraph.stage import staged_once
 
-# rounds of the SQL twin; the queries run to the tolerance, so they differ where a month needs more or fewer
-ROUNDS = 10
-
-
-def _rank_sql(rounds: int) -> str:
-    """PageRank rounds as a chain of CTEs, the last one named ``pr``."""
-    out = [
-        "outdeg AS (SELECT source AS id, count(*) AS d FROM e GROUP BY 1)",
-        "nn AS MATERIALIZED (SELECT repo, CAST(count(*) AS DOUBLE) AS c FROM n GROUP BY 1)",
-        "pr0 AS MATERIALIZED (SELECT repo, id, 1 / c AS r FROM n JOIN nn USING (repo))",
-    ]
-    for i in range(rounds):
-        name = f"pr{i + 1}"
-        out.append(f"""{name} AS MATERIALIZED (
-  SELECT n.repo, n.id, 0.85 * (coalesce(x.s, 0) + coalesce(l.m, 0) / c) + 0.15 / c AS r
-  FROM n JOIN nn USING (repo)
-       LEFT JOIN (SELECT repo, sum(r) AS m FROM pr{i} WHERE id NOT IN (SELECT id FROM outdeg) GROUP BY 1) l
-         USING (repo)
-       LEFT JOIN (SELECT e.target AS id, sum(p.r / o.d) AS s
-                  FROM e JOIN pr{i} p ON p.id = e.source JOIN outdeg o ON o.id = e.source
-                  GROUP BY 1) x ON x.id = n.id)""")
-    # rounded, so that ties are ties in both engines
-    out.append(f"pr AS MATERIALIZED (SELECT repo, id, round(r, 12) AS r FROM pr{rounds})")
-    return ",\n".join(out)
-
-
-RANK = _rank_sql(ROUNDS)
+# PageRank rounds until a repo's change is below nodes * 1e-6; rounded, so that ties are ties in both engines
+RANK = """outdeg AS (SELECT source AS id, count(*) AS d FROM e GROUP BY 1),
+nn AS MATERIALIZED (SELECT repo, CAST(count(*) AS DOUBLE) AS c FROM n GROUP BY 1),
+rounds(i, repo, id, c, r, done) AS (
+  SELECT 0, repo, id, c, 1 / c, false FROM n JOIN nn USING (repo)
+  UNION ALL
+  SELECT i + 1, repo, id, c, fresh, sum(abs(fresh - r)) OVER (PARTITION BY repo) < c * 1e-6 FROM (
+    SELECT w.i, w.repo, w.id, w.c, w.r, 0.85 * (coalesce(x.s, 0) + sum(CASE WHEN o.d IS NULL THEN w.r ELSE 0 END)
+      OVER (PARTITION BY w.repo) / w.c) + 0.15 / w.c AS fresh
+    FROM rounds w LEFT JOIN outdeg o ON o.id = w.id LEFT JOIN (
+      SELECT e.target AS id, sum(p.r / q.d) AS s
+      FROM e JOIN rounds p ON p.id = e.source JOIN outdeg q ON q.id = e.source GROUP BY 1) x ON x.id = w.id
+    WHERE NOT w.done)),
+pr AS MATERIALIZED (SELECT repo, id, round(r, 12) AS r FROM rounds WHERE done)"""
 # distance of every node from the nodes that nothing imports
 ENTRY = """entry AS (SELECT id FROM n WHERE id NOT IN (SELECT target FROM e)),
 walk(id, dist) AS (
@@ -120,17 +107,19 @@ def top_nodes(spark, sf):
     return top(n.join(_rank(spark, sf), ["repo", "id"]), 10).select("rank", "id", "label")
 
 
-def _eigen_sql(rounds: int) -> str:
-    out = ["v0 AS MATERIALIZED (SELECT repo, id, 1.0 / count(*) OVER (PARTITION BY repo) AS x FROM n)"]
-    for i in range(rounds):
-        out.append(f"""y{i} AS MATERIALIZED (
-  SELECT v.repo, v.id, v.x + coalesce(g.s, 0) AS y FROM v{i} v LEFT JOIN (
-    SELECT e.source AS id, sum(w.x) AS s FROM e JOIN v{i} w ON w.id = e.target GROUP BY 1) g USING (id)),
-v{i + 1} AS MATERIALIZED (SELECT repo, id, y / sqrt(sum(y * y) OVER (PARTITION BY repo)) AS x FROM y{i})""")
-    return ",\n".join(out) + f" SELECT id, round(x, 8) AS eigenvector FROM v{rounds}"
+EIGEN = """, rounds(i, repo, id, c, r, done) AS (
+  SELECT 0, repo, id, CAST(count(*) OVER (PARTITION BY repo) AS DOUBLE), 1.0 / count(*) OVER (PARTITION BY repo), false
+  FROM n
+  UNION ALL
+  SELECT i + 1, repo, id, c, fresh, sum(abs(fresh - r)) OVER (PARTITION BY repo) < c * 1e-6 FROM (
+    SELECT i, repo, id, c, r, y / sqrt(sum(y * y) OVER (PARTITION BY repo)) AS fresh FROM (
+      SELECT w.i, w.repo, w.id, w.c, w.r, w.r + coalesce(x.s, 0) AS y FROM rounds w LEFT JOIN (
+        SELECT e.source AS id, sum(p.r) AS s FROM e JOIN rounds p ON p.id = e.target GROUP BY 1) x ON x.id = w.id
+      WHERE NOT w.done)))
+SELECT id, round(r, 8) AS eigenvector FROM rounds WHERE done"""
 
 
-@query("eigenvector", PARTS + "," + _eigen_sql(8))
+@query("eigenvector", PARTS + EIGEN)
 def eigenvector(spark, sf):
     return spectral.eigenvector(*parts(spark, sf)).select(
         "id", F.round("eigenvector", 8).alias("eigenvector"))
