@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcgraph.llm.wordhash import mix
+from srcgraph.stage import Stage
 
 #: Places that features are hashed to; characters a feature at most.
 DIMS, LONGEST = 1 << 14, 3
@@ -138,8 +139,12 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTER
     spark = docs.sparkSession
     train = learnable(docs)
     idf = inverse_frequencies(train)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = train.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(first)).where(
+    # the first `sample` ids by hash lie below a bound that about twice as many pass: only these are ordered
+    ids, _ = Stage(spark, "language_id").save(train.select("lang", "doc_id").distinct())
+    share = ids.groupBy("lang").agg((2.0 * sample / F.count("*")).alias("share"))
+    first = Window.partitionBy("lang").orderBy("place", "doc_id")
+    drawn = ids.join(F.broadcast(share), "lang").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).where(
+        F.col("place") < F.col("share") * (1 << 40)).withColumn("rank", F.row_number().over(first)).where(
         F.col("rank") <= sample).select("lang", "doc_id")
     # one text an id; equal rows are combined before they are sent
     texts = train.join(F.broadcast(drawn), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
