@@ -126,14 +126,25 @@ def test_similar_documents(docs):
     for a, (i, x) in enumerate(rows):
         ids = [rows[b][0] for b in range(len(rows)) if root(b) == root(a) and rows[b][0] is not None]
         want[i, len(x), min(ids) if ids and x else i] += 1
-    got = ngram_join.join_similar(docs, frequent=5).collect()
-    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    # with groups as they are, and with every group dealt again under all orders
+    for pairs in (ngram_join.PAIRS, 0):
+        got = ngram_join.join_similar(docs, frequent=5, pairs=pairs).collect()
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
     kept = ngram_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     empty = {i for i, x in rows if not x}
     assert {r.doc_id for r in kept.collect()} == {c for i, n, c in want if n} | empty
 
 
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 400, rng.integers(0, 300)).astype(np.uint64))
+        y = np.unique(rng.integers(0, 400, rng.integers(0, 300)).astype(np.uint64))
+        apart = int(np.bitwise_count(ngram_join.sketch(x) ^ ngram_join.sketch(y)).sum())
+        assert apart <= len(np.setxor1d(x, y)) and (apart == 0 or not np.array_equal(x, y))
+
+
 def test_secrets(docs, spark):
     key = "AKIA" + "Q" * 16
     text = f'x Password = "abcDEF123456" {key} {"0af" * 6} token: short api_key=ab/c+d=e_f.g-h1'
