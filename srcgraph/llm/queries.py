@@ -56,12 +56,12 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_lexicon(docs, table(spark, sf, "labels")))
 
 
-@query("op3_ngram_jaccard_join")
+@query("op3_ngram_jaccard_join", twins.SIMILAR)
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join_similar(table(spark, sf, "documents")).drop("uid")
 
 
-@query("op7_embedding_near_dedup")
+@query("op7_embedding_near_dedup", twins.EMBEDDINGS)
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_join.link_embeddings(table(spark, sf, "embeddings"))
 
@@ -76,7 +76,7 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("kept")
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", twins.PASSAGES)
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return passage_dedup.remove_passages(table(spark, sf, "documents")).drop("kept")
 

@@ -52,3 +52,57 @@ SELECT p.doc_id, p.leaf, b.subroot, r.root, coalesce(f.proof_sha256, sha256(''))
 FROM placed p JOIN sub b ON b.lang IS NOT DISTINCT FROM p.lang CROSS JOIN root r
 JOIN fold x ON x.row_no = p.row_no AND x.k = len(x.path) LEFT JOIN proof f ON f.row_no = p.row_no
 """
+
+# words of a text (runs without white space), rows numbered so that equal ids stay apart
+_WORDS = r"""
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SIMILAR = f"""
+WITH RECURSIVE d AS MATERIALIZED ({_WORDS.format(text=_LOWER)}),
+s AS MATERIALIZED (
+  SELECT DISTINCT row_no, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS t
+  FROM (SELECT *, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT row_no, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT x.row_no AS a, y.row_no AS b, count(*) AS c FROM s x JOIN s y ON x.t = y.t AND x.row_no <> y.row_no GROUP BY 1, 2),
+link AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n p ON p.row_no = a JOIN n q ON q.row_no = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (row_no) LEFT JOIN reach r ON r.a = d.row_no LEFT JOIN d o ON o.row_no = r.b
+GROUP BY d.row_no, d.doc_id, n.n
+"""
+
+PASSAGES = f"""
+WITH d AS MATERIALIZED ({_WORDS.format(text="coalesce(text, '')")}),
+wins AS MATERIALIZED (
+  SELECT row_no, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS t
+  FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least_id AS (SELECT t, min(doc_id) AS m FROM wins GROUP BY 1),
+bad AS (SELECT row_no, i FROM wins JOIN least_id USING (t) WHERE doc_id > m),
+word AS (SELECT row_no, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+marked AS (
+  SELECT word.*, coalesce(i - max(bad.i) OVER (PARTITION BY row_no ORDER BY i) < 50, false) AS gone
+  FROM word LEFT JOIN bad USING (row_no, i)),
+kept AS (SELECT row_no, count(*) FILTER (gone) AS r, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS k FROM marked GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row_no)
+"""
+
+EMBEDDINGS = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e
+  FROM embeddings),
+ok AS MATERIALIZED (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (
+  SELECT a.row_no AS a, b.row_no AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.row_no <> b.row_no
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY 1),
+c AS (SELECT v.row_no, least(v.vec_id, min(o.vec_id)) AS c FROM v LEFT JOIN reach r ON r.a = v.row_no
+      LEFT JOIN v o ON o.row_no = r.b GROUP BY v.row_no, v.vec_id)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id IS NOT DISTINCT FROM c AS kept
+FROM v JOIN c USING (row_no) LEFT JOIN n ON n.a = v.row_no
+"""
