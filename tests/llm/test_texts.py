@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -295,6 +297,42 @@ def test_main_text(wrap):
                    "Second paragraph with a line end and more words in it.\nShort.")
 
 
+LEAD = "A lead that is one sentence of ordinary prose and stands before the story itself, as leads do."
+STORY = "".join(f"<p>Paragraph {i} of the story is ordinary running prose, long enough to be told from menus.</p>" for i in range(4))
+NOTE = "This legal note is long and dense prose as well, but it stands in a block of its own beside the story."
+
+
+@pytest.mark.parametrize("head, story", [
+    ("<h1>Headline</h1><p>%s</p>" % LEAD, "<article>%s<p>End.</p></article>"),
+    ("", "<main><h1>Headline</h1><p>%s</p>%%s<p>End.</p></main>" % LEAD),
+    ("", "<div><h1>Headline</h1><p>%s</p>%%s<p>End.</p></div>" % LEAD)])
+def test_unmarked_places(head, story):
+    page = ("<html><body><div>Site name</div><div><a href=a>Home</a> <a href=b>Cart</a></div>" + head + story % STORY
+            + "<div><h4>Most read</h4><ul><li><a href=c>One other story</a><li><a href=d>And one more</a></ul></div>"
+            + f"<div><p>{NOTE}</p></div></body></html>")
+    lines = extract_html.main_text(page).split("\n")
+    assert lines[:2] == ["Headline", LEAD] and lines[-1] == "End." and len(lines) == 7
+
+
+def test_one_long_block_hides_nothing():
+    page = f"<body><div>Site</div><div>{STORY * 5}<pre>{'code line ' * 2000}</pre>{STORY}<ul><li>short<li>list</ul></div></body>"
+    lines = extract_html.main_text(page).split("\n")
+    assert len(lines) == 27 and lines[-2:] == ["short", "list"]
+    parts = f"<body><div>{STORY}</div><div>{STORY}</div></body>"
+    assert len(extract_html.main_text(parts).split("\n")) == 8
+
+
+def test_long_pages_without_end_tags():
+    table = "<table>" + "".join(f"<tr><td>cell {i}<td>more {i}" for i in range(40_000)) + "</table>"
+    start = time.perf_counter()
+    tracemalloc.start()
+    assert extract_html.main_text("<main>" + "<li>one item" * 20_000 + "<font>x" * 20_000).count("\n") == 20_000 - 1
+    assert len(extract_html.main_text(table).split("\n")) == 80_000
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert time.perf_counter() - start < 60
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE % "<article><p>Text</article>"), (2, None, None), (3, "u", ""), (None, "u", "<p>a</p>" * 3000),
             (3, "u", ""), (4, "u", "<<<>>&#x110000;&bogus; <p")]
