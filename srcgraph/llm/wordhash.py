@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of text handled at once; a longer text is a batch of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
