@@ -11,7 +11,8 @@ target share of them.  A pair is found if either of its vectors visits the other
 
 Every length of vectors has its own codebooks and visits, fitted on a bounded sample (``sample``
 vectors of the length, in hash order); all vectors are indexed and all visit, within their length.
-Vectors of one component have no halves: those of a label with the same sign are copies.  Equal vectors of a label are one class; their copies are counted, not paired.
+Vectors of one component have no halves: those of a label with the same sign are copies.  Vectors whose
+largest component lies outside 1e-100 .. 1e100 are divided by it.  Equal vectors of a label are one class; their copies are counted, not paired.
 Cells and their visitors are compared in blocks of bounded size, so a hot cell spreads over tasks.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and vectors without a label, link with nothing and are their own component; repeated rows
@@ -107,6 +108,10 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
         F.col("ok") & (F.size("embedding") == 1), F.transform("embedding", F.signum)).otherwise(F.col("embedding")))
     v = v.withColumn(
         "key", F.when(F.col("ok"), F.xxhash64("label", "embedding")).otherwise(F.xxhash64(F.lit("x"), "vec_id")))
+    # norms of very small and very large vectors leave the range of a double; their directions do not
+    top = F.array_max(F.transform("embedding", F.abs))
+    v = v.withColumn("embedding", F.when(F.col("ok") & ~top.between(1e-100, 1e100), F.transform(
+        "embedding", lambda x: x / top)).otherwise(F.col("embedding")))
     widths = [r["n"] for r in v.where("ok").select(F.size("embedding").alias("n")).distinct().collect()]
     if not widths:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),

@@ -74,9 +74,10 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` (doc_id and more) with the ``columns`` of the next document as ``next_<column>``."""
     spark = docs.sparkSession
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, (high - low + 1) * RANGE_DOCS // n) if n else 1
-    least = low if n else 0
-    part = F.coalesce(F.floor((F.col("doc_id") - F.lit(least)) / F.lit(width)), F.lit(-1)).cast("long")
+    # in doubles, as the distance of two ids can exceed a long; rounding keeps their order, which is enough
+    width = max(1.0, (high - low + 1) * RANGE_DOCS / n) if n else 1.0
+    least = float(low) if n else 0.0
+    part = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(least)) / F.lit(width)), F.lit(-1)).cast("long")
     # one row a range: its first id, and the range before it (the last one for the first)
     heads = docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.min("doc_id").alias("head"))
     span = 4096

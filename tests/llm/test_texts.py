@@ -191,6 +191,14 @@ def test_merkle(docs):
     assert alone.edited_sha256 == hashlib.sha256((text[:len(text) - half] + text[:half]).encode()).hexdigest()
 
 
+def test_next_document_of_distant_ids(spark):
+    for low, high in ((0, 2 ** 60), (-2 ** 62 - 5, 2 ** 62 + 5), (-2 ** 63, 2 ** 63 - 1)):
+        rows = [(low, "abcd"), (low + 1, "efgh"), (high, "ijkl")]
+        got = {r.doc_id: r.edited_sha256 for r in merkle.merkle_fingerprints(
+            spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+        assert got == {i: hashlib.sha256(t).hexdigest() for i, t in ((low, b"abef"), (low + 1, b"efij"), (high, b"ijab"))}
+
+
 def test_targets():
     # plain water filling, source by source
     assert mixing.targets([100, 100, 100]) == pytest.approx([200, 450 / 3 + 50 / 3, 250 / 3])

@@ -39,6 +39,13 @@ def test_links(spark):
     assert embedding_join.link_embeddings(frame.where("vec_id >= 700 AND vec_id <> 705")).count() == 7
 
 
+def test_directions_of_tiny_and_huge_vectors(spark):
+    rows = [(i, [scale * 3, scale * 4, scale], 1) for i, scale in enumerate((1e-200, 2e-200, 1.0, 1e200))] + [(9, [0.0, -1e-200, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.link_embeddings(
+        spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>, label INT")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 9: (0, 9)}
+
+
 def test_traversal_order():
     d1, d2 = np.array([0.3, 0.1, 0.9]), np.array([0.5, 0.2])
     cells = embedding_join.multi_sequence(d1, d2, 10)
