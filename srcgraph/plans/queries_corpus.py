@@ -211,7 +211,7 @@ def register_extractor(spark, sf):
     extract.register_extractor(".part", lambda c: F.transform(
         F.filter(F.transform(F.split(c, "\n"), lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
                  lambda x: x["t"].startswith("@uses ")),
-        lambda x: F.struct(F.substring(x["t"], 7, 1000).alias("module"), F.lit("uses").alias("type"),
+        lambda x: F.struct(x["t"].substr(F.lit(7), F.length(x["t"])).alias("module"), F.lit("uses").alias("type"),
                            (x["i"] + 1).cast("int").alias("line"))))
     got = extract.extract_imports(files, extensions=[".part"])
     extract.unregister_extractor(".part")
