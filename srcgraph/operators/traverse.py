@@ -45,7 +45,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = -1) -> DataFrame:
     return stage.read(schema, *paths)
 
 
-def mask_bfs(edges: DataFrame, origins: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mask_bfs(edges: DataFrame, origins: DataFrame, max_depth: int = -1) -> tuple[DataFrame, DataFrame]:
     """Breadth-first search from many origins, 64 of them per row.
 
     Origins (``repo, id``) are numbered in the order of their first import, so those
@@ -69,7 +69,7 @@ def mask_bfs(edges: DataFrame, origins: DataFrame) -> tuple[DataFrame, DataFrame
     path, got = stage.write(level, n=F.count(F.lit(1)))
     paths, depth = [path], 0
     none = F.lit(0).cast("long")
-    while got["n"]:
+    while got["n"] and (max_depth < 0 or depth < max_depth):
         depth += 1
         step = (
             stage.read(schema, path).select("repo", "chunk", F.col("id").alias("source"), "front")
@@ -92,11 +92,14 @@ def k_hop(edges: DataFrame, targets: DataFrame, depth: int = -1, direction: str
     """Nodes around each target with their distance, the target left out.
 
     ``direction='in'`` follows importers, ``'out'`` follows imports.  All
-    targets (``repo, id``) are answered in one run: ``repo, origin, id, dist``.
+    targets (``repo, id``) are answered in one run: ``repo, origin, id, dist``.  The search
+    keeps 64 targets a row; only the answer has a row for each.
     """
     links = reverse(edges) if direction == "in" else edges
-    seeds = targets.select("repo", F.col("id").alias("origin"), "id")
-    return bfs(links, seeds, depth).where("dist > 0")
+    levels, number = mask_bfs(links, targets, depth)
+    seen = levels.where("dist > 0").select("repo", "chunk", "id", "dist", F.explode(F.expr(
+        "filter(sequence(0, 63), b -> getbit(front, b) = 1)")).alias("bit"))
+    return seen.join(number, ["repo", "chunk", "bit"]).select("repo", "origin", "id", "dist")
 
 
 def entries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
