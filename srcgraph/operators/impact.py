@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcgraph.operators.build import degrees
+from srcgraph.operators.dominators import dominators
 from srcgraph.operators.traverse import bfs, entries, k_hop, shortest_paths
 from srcgraph.stage import Stage
 
@@ -82,56 +83,79 @@ def dependency_chains(
         .where(F.col("rank") <= k).select("repo", "target", "rank", F.col("path").alias("chain")))
 
 
+def _with_stand_ins(pool: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs and roots on which a removed node orphans just what it dominates.
+
+    A pool node that only v imports becomes an entry when v goes.  So v gets a stand-in (``counted``
+    false) with v's own importers, which imports such nodes in v's place: it lives on without v,
+    and falls with whatever else cuts v off.
+    """
+    sole = (
+        links.groupBy("repo", F.col("target").alias("id"))
+        .agg(F.count(F.lit(1)).alias("d")).where("d = 1")
+        .join(pool, ["repo", "id"], "left_semi").select("repo", F.col("id").alias("target"), F.lit(True).alias("sole")))
+    arcs = (
+        links.join(sole, ["repo", "target"], "left").where("source <> target")
+        .select("repo", "source", F.col("sole").isNull().alias("source_counted"), F.col("target").alias("id"),
+                F.lit(True).alias("counted")))
+    doubled = arcs.where("NOT source_counted").select("repo", F.col("source").alias("id")).distinct()
+    roots = entries(pool, links).withColumn("counted", F.lit(True))
+    silent = lambda df: df.join(doubled, ["repo", "id"], "left_semi").withColumn(
+        "counted", F.lit(False))
+    return arcs.unionByName(silent(arcs)), roots.unionByName(silent(roots))
+
+
+def removal_orphans(nodes: DataFrame, edges: DataFrame, strict_internal: bool = False) -> DataFrame:
+    """What each node keeps alive, for all nodes at once: ``repo, gone, id, lost``.
+
+    One dominator tree a repository answers for every node; rows are those of the answer.  A row with
+    ``gone`` tells that removing it orphans ``id``.  Nodes that no entry reaches anyway stand
+    once with ``gone`` null and ``lost``; such a node comes alive where the removed node was itself lost
+    and the only importer of one on the way: rows with ``gone`` and ``lost`` name these exceptions.
+    """
+    pool = (nodes.where("node_type <> 'external'") if strict_internal else nodes).select("repo", "id")
+    stage = Stage(edges.sparkSession, "removal")
+    links, _ = stage.save(edges.select("repo", "source", "target").distinct())
+    arcs, roots = _with_stand_ins(pool, links)
+    arcs, _ = stage.save(arcs)
+    tree = dominators(arcs, roots).where("counted").select("repo", "id", "path")
+    below = (
+        tree.join(pool, ["repo", "id"], "left_semi").where("size(path) > 1")
+        .select("repo", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("gone"), "id"))
+    lost, _ = stage.save(pool.join(tree.select("repo", "id"), ["repo", "id"], "left_anti"))
+    # a lost node's only importer is lost too
+    opened = (
+        arcs.where("counted AND NOT source_counted").select("repo", F.col("source").alias("gone"), "id")
+        .join(lost, ["repo", "id"], "left_semi"))
+    revived = bfs(links, opened, avoid="gone").join(lost, ["repo", "id"], "left_semi")
+    return (
+        below.select("repo", "gone", "id", F.lit(False).alias("lost"))
+        .unionByName(revived.select("repo", "gone", "id", F.lit(True).alias("lost")))
+        .unionByName(lost.select("repo", F.lit(None).cast(below.schema["gone"].dataType).alias("gone"), "id",
+                                 F.lit(True).alias("lost"))))
+
+
 def simulate_removal(
     nodes: DataFrame, edges: DataFrame, targets: DataFrame, strict_internal: bool = False
 ) -> DataFrame:
     """``repo, target, kind, id`` with kind ``broken_import`` or ``orphaned_file``.
 
-    Each target is removed on its own; a node is orphaned when no entry node of
-    the remaining graph reaches it.  Only the descendants of a removed node are
-    searched again, so the state is their number and not a graph copy per target.
+    Each target is removed on its own; a node is orphaned when no entry node of the remaining
+    graph reaches it.  ``removal_orphans`` finds them without a search per target; only here are
+    the nodes that no entry reaches repeated for every target asked.
     """
     t = targets.select("repo", F.col("id").alias("gone")).join(
-        nodes.select("repo", F.col("id").alias("gone")), ["repo", "gone"], "left_semi")
-    broken = edges.join(t, (edges.repo == t.repo) & (edges.target == t.gone)).select(
-        t.repo, "gone", F.lit("broken_import").alias("kind"), edges.source.alias("id")).distinct()
-    pool = nodes.where("node_type <> 'external'") if strict_internal else nodes
-    stage = Stage(edges.sparkSession, "removal")
-    links = edges.select("repo", "source", "target").distinct()
-    below, _ = stage.save(k_hop(links, t.select("repo", F.col("gone").alias("id")), -1, "out")
-                          .select("repo", F.col("origin").alias("gone"), "id"))
-    reached = bfs(links, entries(pool, links)).select("repo", "id")
-    # outside the removed node's descendants nothing changes
-    lost = pool.select("repo", "id").join(reached, ["repo", "id"], "left_anti")
-    outside = lost.join(t, "repo").where("id <> gone").join(
-        below, ["repo", "gone", "id"], "left_anti").select("repo", "gone", "id")
-    # inside: new entries (the removed node was their only importer) ...
-    indeg = links.groupBy("repo", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("d"))
-    direct = links.select("repo", F.col("source").alias("gone"), F.col("target").alias("id"))
-    orphan_entry = (
-        below.join(direct, ["repo", "gone", "id"], "left_semi")
-        .join(indeg.where("d = 1"), ["repo", "id"], "left_semi")
-        .join(pool.select("repo", "id"), ["repo", "id"], "left_semi").select("repo", "gone", "id"))
-    # ... and nodes that a reached node outside still imports
-    into = links.join(below.select("repo", "gone", F.col("id").alias("target")),
-                      ["repo", "target"]).where("source <> gone")
-    into, _ = stage.save(into)
-    member = below.select("repo", "gone", F.col("id").alias("source"))
-    fed = (
-        into.join(member, ["repo", "gone", "source"], "left_anti")
-        .join(reached.select("repo", F.col("id").alias("source")), ["repo", "source"], "left_semi")
-        .select("repo", "gone", F.col("target").alias("id")))
-    scope = F.struct("repo", "gone").alias("repo")
-    inside = into.join(member, ["repo", "gone", "source"], "left_semi").select(
-        scope, "source", "target")
-    alive = bfs(inside, orphan_entry.unionByName(fed).select(scope, "id")).select(
-        F.col("repo.repo").alias("repo"), F.col("repo.gone").alias("gone"), "id")
-    dead = (
-        below.join(pool.select("repo", "id"), ["repo", "id"], "left_semi")
-        .join(alive, ["repo", "gone", "id"], "left_anti").select("repo", "gone", "id"))
-    orphaned = outside.unionByName(dead).select(
-        "repo", "gone", F.lit("orphaned_file").alias("kind"), "id")
-    return broken.unionByName(orphaned).withColumnRenamed("gone", "target")
+        nodes.select("repo", F.col("id").alias("gone")), ["repo", "gone"], "left_semi").distinct()
+    broken = edges.select("repo", F.col("target").alias("gone"), F.col("source").alias("id")).join(
+        t, ["repo", "gone"], "left_semi").distinct()
+    found, _ = Stage(edges.sparkSession, "orphans").save(removal_orphans(nodes, edges, strict_internal))
+    dead = found.where("NOT lost").select("repo", "gone", "id").join(t, ["repo", "gone"], "left_semi")
+    always = found.where("gone IS NULL").select("repo", "id").join(t, "repo").where("id <> gone").join(
+        found.where("lost AND gone IS NOT NULL").select("repo", "gone", "id"), ["repo", "gone", "id"], "left_anti")
+    kind = lambda df, name: df.select("repo", F.col("gone").alias("target"), F.lit(name).alias("kind"), "id")
+    return (
+        kind(broken, "broken_import").unionByName(kind(dead, "orphaned_file"))
+        .unionByName(kind(always, "orphaned_file")))
 
 
 def match_target(nodes: DataFrame, wanted: DataFrame) -> DataFrame:

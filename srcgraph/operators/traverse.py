@@ -17,12 +17,13 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("repo", F.col("target").alias("source"), F.col("source").alias("target"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = -1) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = -1, avoid: str | None = None) -> DataFrame:
     """Distance from the seeds.
 
     ``seeds`` has ``repo, id`` and any further key columns (such as ``origin``);
-    the search runs per key.  Result: the seed columns plus ``dist INT``, the
-    seeds themselves at 0.
+    the search runs per key.  ``avoid`` names a key column with a node that this
+    search never enters.  Result: the seed columns plus ``dist INT``, the seeds
+    themselves at 0.
     """
     stage = Stage(edges.sparkSession, "bfs")
     keys = [c for c in seeds.columns if c != "id"]
@@ -36,6 +37,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = -1) -> DataFrame:
         frontier = stage.read(schema, path).select(*keys, F.col("id").alias("source"))
         step = frontier.join(links, ["repo", "source"]).select(
             *keys, F.col("target").alias("id"), F.lit(depth).alias("dist"))
+        if avoid:
+            step = step.where(F.col("id") != F.col(avoid))
         # steps and visited rows meet in one aggregation; a node is new if no row is older
         level = (
             step.unionByName(stage.read(schema, *paths)).groupBy(*keys, "id")

@@ -574,7 +574,17 @@ def dependency_chains(spark, sf):
         "chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
-@query("simulate_removal")  # a graph without each node is too much for SQL; tests use brute force
+@query("simulate_removal", PARTS + """,
+links AS (SELECT DISTINCT source, target FROM e),
+indeg AS (SELECT target AS id, count(*) AS d, min(source) AS only FROM links GROUP BY 1),
+alive(gone, id) AS (
+  SELECT g.id, x.id FROM n g JOIN n x USING (repo) LEFT JOIN indeg i ON i.id = x.id
+  WHERE x.id <> g.id AND (i.d IS NULL OR (i.d = 1 AND i.only = g.id))
+  UNION SELECT a.gone, l.target FROM alive a JOIN links l ON l.source = a.id WHERE l.target <> a.gone)
+SELECT target, 'broken_import' AS kind, source AS id FROM links
+UNION ALL
+SELECT g.id, 'orphaned_file', x.id FROM n g JOIN n x USING (repo)
+WHERE x.id <> g.id AND NOT EXISTS (SELECT 1 FROM alive a WHERE a.gone = g.id AND a.id = x.id)""")
 def simulate_removal(spark, sf):
     n, e = parts(spark, sf)
     return impact.simulate_removal(n, e, _asked(n)).drop("repo")
