@@ -442,7 +442,7 @@ def save_analysis(spark, sf):
     root = _store(spark, sf)
     n, e = snapshots(spark, sf)[1]
     out_store.save_analysis(root, "before", {"nodes": n, "edges": e})
-    return spark.read.parquet(f"{root}/edges").select("analysis_id", "source", "target")
+    return in_store.stored(spark, root, "edges").select("analysis_id", "source", "target")
 
 
 @query("load_analysis", SNAPSHOTS + "SELECT id, node_type FROM s1_n")
@@ -454,24 +454,31 @@ def load_analysis(spark, sf):
   (SELECT count(*) FROM s2) AS edges""")
 def recent_analyses(spark, sf):
     root = _store(spark, sf)
-    read = lambda t: spark.read.parquet(f"{root}/{t}")
-    return in_store.recent_analyses(read("analyses"), read("nodes"), read("edges"), 1).drop("saved_at")
+    read = lambda t: in_store.stored(spark, root, t)
+    return in_store.recent_analyses(
+        in_store.analyses(spark, root), read("nodes"), read("edges"), 1).drop("saved_at")
 
 
 @query("delete_analysis", SNAPSHOTS + "SELECT 'after' AS analysis_id, count(*) AS edges FROM s2")
 def delete_analysis(spark, sf):
     root = _store(spark, sf)
     out_store.delete_analysis(spark, root, "before")
-    return spark.read.parquet(f"{root}/edges").groupBy("analysis_id").agg(
+    return in_store.stored(spark, root, "edges").groupBy("analysis_id").agg(
         F.count(F.lit(1)).alias("edges"))
 
 
 @query("expire_analyses", """SELECT CAST(o_orderkey AS VARCHAR) AS analysis_id FROM orders
 WHERE o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 700 DAY""")
 def expire_analyses(spark, sf):
-    stored = table(spark, sf, "orders").select(
-        F.col("o_orderkey").cast("string").alias("analysis_id"), F.col("o_orderdate").alias("saved_at"))
-    return out_store.expired(stored, 700, "1998-01-01")
+    # a log with one analysis an order; the answer is what is no longer published after the expiry
+    root = Stage(spark, "store").root
+    out_store.publish(root, table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("analysis_id"), F.lit(out_store.new_version()).alias("version"),
+        F.col("o_orderdate").alias("saved_at"), F.lit(None).cast("string").alias("fingerprint"),
+        F.lit(False).alias("deleted")))
+    out_store.expire_analyses(spark, root, 700, "1998-01-01")
+    return in_store.read_log(spark, root).select("analysis_id").distinct().join(
+        in_store.analyses(spark, root), "analysis_id", "left_anti")
 
 
 @query("store_stats")  # sizes of files have no SQL form; a test adds the files up

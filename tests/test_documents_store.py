@@ -101,21 +101,47 @@ def test_store(spark, tmp_path):
     store.save_analysis(root, "x", {"nodes": n, "edges": e.limit(1)}, "fp3")
     assert src.load_analysis(spark, root, "x", "edges").count() == 1
     assert src.load_analysis(spark, root, "y").count() == 3
-    read = lambda t: spark.read.parquet(f"{root}/{t}")
-    recent = src.recent_analyses(read("analyses"), read("nodes"), read("edges"), 5).collect()
+    read = lambda t: src.stored(spark, root, t)
+    recent = src.recent_analyses(src.analyses(spark, root), read("nodes"), read("edges"), 5).collect()
     assert {(r.analysis_id, r.nodes, r.edges) for r in recent} == {("x", 3, 1), ("y", 3, 1)}
     assert store.store_stats(spark, root).first().entry_count == 2
     fp = spark.createDataFrame([("r", "fp3"), ("r", "zz")], "repo STRING, fingerprint STRING")
-    known = read("analyses").withColumn("repo", F.lit("r"))
+    known = src.analyses(spark, root).withColumn("repo", F.lit("r"))
     assert [r.fingerprint for r in src.unchanged(fp, known).collect()] == ["fp3"]
     with pytest.raises(KeyError):
         store.delete_analysis(spark, root, "nope")
     store.delete_analysis(spark, root, "y")
-    assert [r.analysis_id for r in spark.read.parquet(f"{root}/analyses").collect()] == ["x"]
-    old = spark.createDataFrame([("o", datetime.datetime(2000, 1, 1))], "analysis_id STRING, saved_at TIMESTAMP")
-    old.withColumn("fingerprint", F.lit("f")).write.partitionBy("analysis_id").mode("append").parquet(f"{root}/analyses")
+    assert [r.analysis_id for r in src.analyses(spark, root).collect()] == ["x"]
+    old = spark.createDataFrame([("o", store.new_version(), datetime.datetime(2000, 1, 1), "f", False)],
+                                src.LOG_SCHEMA)
+    store.publish(root, old)
     assert store.expire_analyses(spark, root, 7) == 1
     assert store.expire_analyses(spark, root, 7) == 0
+    assert [r.analysis_id for r in src.analyses(spark, root).collect()] == ["x"]
+
+
+def test_half_saved_snapshot_is_not_seen(spark, tmp_path):
+    n, e = small(spark)
+    root, name = str(tmp_path / "store"), "own/repo:1"
+    store.save_analysis(root, name, {"nodes": n, "edges": e}, "fp1")
+    broken = e.withColumn("target", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        store.save_analysis(root, name, {"nodes": n.limit(1), "edges": broken}, "fp2")
+    with pytest.raises(ValueError):
+        store.save_analysis(root, name, {"nodes": n.limit(1), "other": e})
+    nodes, edges = src.edges_from_analysis(spark, root, name)
+    assert (nodes.count(), edges.count()) == (n.count(), e.count())
+    assert src.stored(spark, root, "nodes").count() == n.count()
+    assert {r.analysis_id for r in src.stored(spark, root, "nodes").collect()} == {name}
+    assert [r.fingerprint for r in src.analyses(spark, root).collect()] == ["fp1"]
+    # what the failed save left is kept for a day, then cleared; the published version stays
+    assert store.vacuum(spark, root) == 0
+    assert store.vacuum(spark, root, hours=0) == 1
+    assert src.load_analysis(spark, root, name).count() == n.count()
+    store.save_analysis(root, name, {"nodes": n.limit(1), "edges": e})
+    assert nodes.count() == n.count(), "a reader that began before sees the version it began with"
+    assert src.load_analysis(spark, root, name).count() == 1
+    assert store.vacuum(spark, root, hours=0) == 2
 
 
 def test_diff_of_itself_is_empty(spark):
