@@ -90,25 +90,17 @@ def _none() -> Column:
 def match_lines(content: Column, pattern: str) -> Column:
     """All matches of a multi-line pattern with the line each starts on.
 
-    The text between matches comes from splitting at the same pattern, so the
-    start line is the newlines of everything before, plus one.
+    A mark is set before each match; a line number then counts once for every mark
+    of its line, so the work grows with the text and not with the square of the matches.
     """
+    mark, other = "\x01", "\x02"
     found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    before = F.split(content, pattern)
-    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    counts = F.zip_with(
-        before, found,
-        lambda b, m: F.struct(m.alias("m"), newlines(b).alias("b"),
-                              F.coalesce(newlines(m), F.lit(0)).alias("k")))
-    start = F.struct(F.lit(1).alias("at"),
-                     F.array().cast("array<struct<m:string,line:int>>").alias("out"))
-    walked = F.aggregate(
-        F.filter(counts, lambda c: c["m"].isNotNull()), start,
-        lambda acc, c: F.struct(
-            (acc["at"] + c["b"] + c["k"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                c["m"].alias("m"), (acc["at"] + c["b"]).alias("line")))).alias("out")))
-    return F.when(content.rlike(pattern), walked["out"]).otherwise(
+    marked = F.regexp_replace(F.translate(content, mark, other), pattern, f"{mark}$0")
+    marks = lambda t: F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))
+    starts = F.flatten(F.transform(
+        F.split(marked, "\n"), lambda t, i: F.array_repeat(i + 1, marks(t))))
+    return F.when(content.rlike(pattern), F.zip_with(
+        found, starts, lambda m, n: F.struct(m.alias("m"), n.cast("int").alias("line")))).otherwise(
         F.array().cast("array<struct<m:string,line:int>>"))
 
 

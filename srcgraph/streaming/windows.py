@@ -6,7 +6,7 @@ watermark are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: window, step and histogram bounds of the monitored service
@@ -49,25 +49,22 @@ def counter_rate(
     """Per-second increase of counters in sliding windows, resets counted from 0.
 
     Samples are first reduced per step slice (increase inside, first and last
-    value), then the few slices of a window are chained; a busy series is thus
-    spread over its slices.  Batch form; see ``stateful.counter_deltas``.
+    value, by one sort and one aggregation on the same keys), then the few slices
+    of a window are chained; a busy series is thus spread over its slices and no
+    slice is held as a list.  Batch form; see ``stateful.counter_deltas``.
     """
     def gain(a: Column, b: Column) -> Column:
         return F.when(b >= a, b - a).otherwise(b)
 
-    def inner(points: Column) -> Column:
-        return F.aggregate(
-            F.slice(points, F.lit(2), F.size(points)),
-            F.struct(points[0]["value"].alias("at"), F.lit(0.0).alias("sum")),
-            lambda acc, p: F.struct(p["value"].alias("at"),
-                                    (acc["sum"] + gain(acc["at"], p["value"])).alias("sum")))["sum"]
-
+    order = F.struct("ts", "value")
+    before = F.lag("value").over(Window.partitionBy("slice", *by).orderBy("ts", "value"))
     slices = (
-        samples.groupBy(F.window("ts", step).alias("slice"), *by)
-        .agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("p"))
-        .select(F.col("slice.start").alias("ts"), *by, inner(F.col("p")).alias("inside"),
-                F.col("p")[0]["value"].alias("first"),
-                F.element_at("p", -1)["value"].alias("last"), F.size("p").alias("n")))
+        samples.select(F.window("ts", step)["start"].alias("slice"), "ts", *by, "value")
+        .withColumn("gain", F.when(before.isNull(), 0.0).otherwise(gain(before, F.col("value"))))
+        .groupBy("slice", *by)
+        .agg(F.sum("gain").alias("inside"), F.min_by("value", order).alias("first"),
+             F.max_by("value", order).alias("last"), F.count(F.lit(1)).cast("int").alias("n"))
+        .withColumnRenamed("slice", "ts"))
     chained = slices.groupBy(F.window("ts", window, step).alias("window"), *by).agg(
         F.array_sort(F.collect_list(F.struct("ts", "inside", "first", "last", "n"))).alias("s"))
     total = F.aggregate(

@@ -283,3 +283,20 @@ def test_scan_files(spark, tmp_path):
     assert {(r.repo, r.path, r.ext) for r in got.collect()} == {
         ("one", "a.py", ".py"), ("one", "sub/b.js", ".js"), ("two", "go.mod", ".mod"), ("two", "x.go", ".go")}
     assert scan_files(spark, str(tmp_path / "one"), "r").count() == 2
+
+
+def test_match_lines_by_plain_search(spark):
+    import random
+    import re
+
+    from srcgraph.operators.extract import match_lines
+    pattern = r"im(\s+\w)*\s*;"
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["im", " ", "\n", "a", ";", "im a;", "im\na;", "\x01", "im;im;"])
+                     for _ in range(rng.randrange(60))) for _ in range(200)]
+    texts += ["im a\n;" * 20000, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    got = dict(df.select("i", match_lines(F.col("t"), pattern).alias("m")).collect())
+    for i, t in enumerate(texts):
+        assert [(m.m, m.line) for m in got[i]] == [
+            (x.group(), t.count("\n", 0, x.start()) + 1) for x in re.finditer(pattern, t)]

@@ -1,7 +1,9 @@
 """Streams give what the batch form gives."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from srcgraph.sinks import report
@@ -104,3 +106,17 @@ def test_audit_stream(spark, tmp_path):
     assert back.count() == 6
     got = {r.username: r.failed_logins for r in windows.audit_by_user(back).collect()}
     assert got == {"u0": 3, "u1": 3}
+
+
+def test_counter_rate_by_plain_pass(spark):
+    rng = random.Random(8)
+    rows = [(f"s{rng.randrange(3)}", at(rng.randrange(1200)), float(rng.randrange(50))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "series STRING, ts TIMESTAMP, value DOUBLE")
+    got = {(r.series, r.window_start): r.increase for r in windows.counter_rate(
+        df, ["series"], "5 minutes", "30 seconds").collect()}
+    want = {}
+    for (series, start) in got:
+        end = start + dt.timedelta(minutes=5)
+        values = [v for _, v in sorted((t, v) for s, t, v in rows if s == series and start <= t < end)]
+        want[series, start] = sum(b - a if b >= a else b for a, b in zip(values, values[1:]))
+    assert len(got) > 100 and got == pytest.approx(want)
