@@ -9,8 +9,8 @@ from srcgraph.plans.views import EVENTS, events, table
 from srcgraph.schemas import AUDIT
 from srcgraph.sinks.report import write_audit
 from srcgraph.sources import logs
-from srcgraph.stage import Stage
-from srcgraph.streaming import alerts, stateful, windows
+from srcgraph.stage import Stage, staged_once
+from srcgraph.streaming import alerts, carried, windows
 from srcgraph.streaming.run import drain
 
 HOUR, HALF = "1 hour", "30 minutes"
@@ -141,11 +141,15 @@ pe AS (SELECT ts, 'a' || user_id AS analysis_id,
 
 
 def _progress(spark, sf):
+    return _progress_rows(events(spark, sf))
+
+
+def _progress_rows(ev):
     kind = F.col("event_type")
     stage = F.when(kind == "click", "validating").when(kind == "view", "discovering").when(
         kind == "signup", "parsing").when(kind == "purchase", "building_graph").otherwise("analyzing")
     level = F.create_map(*[F.lit(x) for pair in windows.STAGES.items() for x in pair])
-    return events(spark, sf).select(
+    return ev.select(
         "ts", F.concat(F.lit("a"), "user_id").alias("analysis_id"), stage.alias("status"),
         level[stage].alias("progress"))
 
@@ -267,13 +271,37 @@ def error_ratio_stream(spark, sf):
     return drain(got, "ratio").select("window_start", "error_ratio")
 
 
+SLICES = 4
+
+
+def _arriving(spark, sf):
+    """The event table as a stream of ``SLICES`` batches that arrive in order of time."""
+    def write():
+        ev = events(spark, sf).select("event_id", "ts", "user_id", "event_type", "value", "host")
+        at = [i / SLICES for i in range(1, SLICES)]
+        cuts = ev.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), at).alias("c")).first()["c"]
+        micros, path = F.unix_micros(F.col("ts").cast("timestamp")), Stage(spark, "arriving").root
+        borders = [None, *(cuts or []), None]
+        for low, high in zip(borders[:-1], borders[1:], strict=True):
+            part = ev if low is None else ev.where(micros > low)
+            part = part if high is None else part.where(micros <= high)
+            part.coalesce(1).write.mode("append").parquet(path)
+        return spark.createDataFrame([(path,)], "path STRING")
+
+    path = staged_once(spark, "arriving", sf, write).first()["path"]
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(
+        path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("counter_stream", EVENTS + """,
 x AS (SELECT host AS series, ts, value, lag(value) OVER (PARTITION BY host ORDER BY ts) AS prev FROM ev)
 SELECT series, ts, round(CASE WHEN prev IS NULL THEN 0 WHEN value >= prev THEN value - prev ELSE value END, 5)
   AS delta FROM x""")
 def counter_stream(spark, sf):
-    got = stateful.counter_deltas(_stream(spark, sf).select(F.col("host").alias("series"), "ts", "value"))
-    return drain(got, "deltas").withColumn("delta", F.round("delta", 5))
+    samples = _arriving(spark, sf).select(F.col("host").alias("series"), "ts", F.col("value").cast("double").alias("value"))
+    rows, _ = carried.drain_carried(samples, "deltas", carried.counter_step, carried.COUNTER,
+                                    "series STRING, ts TIMESTAMP, delta DOUBLE")
+    return rows.withColumn("delta", F.round("delta", 5))
 
 
 @query("alert_stream", STATES + """,
@@ -281,9 +309,30 @@ c AS (SELECT host AS series, ts, state, lag(state, 1, 'inactive') OVER (PARTITIO
       FROM st)
 SELECT series, ts, state FROM c WHERE state <> was""")
 def alert_stream(spark, sf):
-    evals = _stream(spark, sf).select(F.col("host").alias("series"), "ts",
-                                      (F.col("value") > 50).alias("breach"))
-    return drain(stateful.alert_states(evals, 3600, 1800), "alerts")
+    evals = _arriving(spark, sf).select(F.col("host").alias("series"), "ts", (F.col("value") > 50).alias("breach"))
+    return carried.drain_carried(evals, "alerts", carried.alert_step(3600, 1800), carried.ALERT,
+                                 "series STRING, ts TIMESTAMP, state STRING")[0]
+
+
+@query("liveness_stream", EVENTS + """,
+g AS (SELECT host AS series, ts AS last_seen, lead(ts) OVER (PARTITION BY host ORDER BY ts) AS down_until
+      FROM (SELECT DISTINCT host, ts FROM ev))
+SELECT series, last_seen, last_seen + INTERVAL 1 HOUR AS down_from, down_until FROM g
+WHERE down_until - last_seen > INTERVAL 1 HOUR""")
+def liveness_stream(spark, sf):
+    samples = _arriving(spark, sf).select(F.col("host").alias("series"), "ts")
+    return carried.drain_carried(
+        samples, "liveness", carried.liveness_step(3600), carried.LIVENESS,
+        "series STRING, last_seen TIMESTAMP, down_from TIMESTAMP, down_until TIMESTAMP")[0]
+
+
+@query("job_progress_stream", PROGRESS + """
+SELECT analysis_id, arg_max(status, ts) AS status, arg_max(progress, ts) AS progress, max(ts) AS ts
+FROM pe GROUP BY 1""")
+def job_progress_stream(spark, sf):
+    rows, _ = carried.drain_carried(_progress_rows(_arriving(spark, sf)), "progress",
+                                    carried.progress_step("7 DAYS"), carried.PROGRESS, carried.PROGRESS)
+    return windows.job_progress(rows)
 
 
 @query("progress_fanout_stream", PROGRESS + """

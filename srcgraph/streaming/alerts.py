@@ -19,14 +19,35 @@ def _micros(ts):
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def previous(rows: DataFrame, by: list[str], columns: list[str], ties: list = (), chunk: str = "1 day") -> DataFrame:
+    """Add ``p_<column>``, the value on the row before in order of ``ts, *ties``; null on the first.
+
+    Ordered inside (series, chunk); one summary row per chunk reaches over its border.
+    """
+    rows = rows.withColumn("chunk", _chunk(chunk))
+    inside = Window.partitionBy(*by, "chunk").orderBy("ts", *ties)
+    border = Window.partitionBy(*by).orderBy("chunk")
+    rows = rows.withColumn("__next", F.lead(F.lit(1)).over(inside))
+    for c in columns:
+        rows = rows.withColumn(f"p_{c}", F.lag(c).over(inside))
+    rows = rows.withColumn("__first", F.lag(F.lit(1)).over(inside).isNull())
+    tails = rows.where("__next IS NULL").select(
+        *by, "chunk", *[F.lag(c).over(border).alias(f"c_{c}") for c in columns])
+    rows = rows.join(tails, [*by, "chunk"])
+    for c in columns:
+        rows = rows.withColumn(f"p_{c}", F.when(F.col("__first"), F.col(f"c_{c}")).otherwise(F.col(f"p_{c}")))
+    return rows.drop("chunk", "__next", "__first", *[f"c_{c}" for c in columns])
+
+
 def alert_for(evals: DataFrame, by: list[str], for_seconds, step_seconds: int = 30,
-              chunk: str = "1 day") -> DataFrame:
+              chunk: str = "1 day", begun: str | None = None) -> DataFrame:
     """Add ``since`` and ``state`` (inactive, pending, firing, resolved) to evaluations.
 
     ``evals`` has ``ts, breach`` on a grid of ``step_seconds`` per series.  An alert
     fires once the breach held for ``for_seconds`` (a number or a column name)
     without a gap; a missing evaluation resets it.  Resolved marks the first calm
-    evaluation after a firing one.
+    evaluation after a firing one.  ``begun`` names a column with the start of a breach that
+    began before the series' first evaluation here.
     """
     need = (F.col(for_seconds) if isinstance(for_seconds, str) else F.lit(for_seconds)).cast("long")
     carry = [for_seconds] if isinstance(for_seconds, str) else []
@@ -44,7 +65,8 @@ def alert_for(evals: DataFrame, by: list[str], for_seconds, step_seconds: int =
     rows = rows.join(tail, [*by, "chunk"]).withColumn("p_ts", F.coalesce("p_ts", "c_ts")).withColumn(
         "p_breach", F.coalesce("p_breach", "c_breach")).drop("c_ts", "c_breach")
     linked = F.coalesce((F.col("p_ts") + gap >= F.col("ts")) & F.col("p_breach"), F.lit(False))
-    rows = rows.withColumn("start", F.when(F.col("breach") & ~linked, F.col("ts")))
+    first = F.col("ts") if begun is None else F.coalesce(begun, "ts")
+    rows = rows.withColumn("start", F.when(F.col("breach") & ~linked, first))
     rows = rows.withColumn("own", F.max("start").over(past))
     ends = rows.groupBy(*by, "chunk").agg(F.max("start").alias("last_start"))
     ends = ends.select(*by, "chunk", F.max("last_start").over(

@@ -1,4 +1,7 @@
-"""Custom state on streams: counter deltas, alert state, target liveness."""
+"""Target liveness by the clock: state with a processing-time timeout.
+
+State that follows event time (counters, alerts, gaps, job progress) is in ``carried``.
+"""
 
 from __future__ import annotations
 
@@ -9,60 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def counter_deltas(samples: DataFrame) -> DataFrame:
-    """Reset-aware increase per sample: ``series, ts, delta`` from ``series, ts, value``.
-
-    The deltas then go through a plain windowed sum.
-    """
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for pdf in [pd.concat(list(batches))]:
-            pdf = pdf.sort_values("ts")
-            prev = pdf["value"].shift()
-            if last is not None:
-                prev.iloc[0] = last
-            gain = (pdf["value"] - prev).where(pdf["value"] >= prev, pdf["value"])
-            last = float(pdf["value"].iloc[-1])
-            yield pd.DataFrame({"series": key[0], "ts": pdf["ts"],
-                                "delta": gain.where(prev.notna(), 0.0)})
-        state.update((last,))
-
-    return samples.groupBy("series").applyInPandasWithState(
-        step, "series STRING, ts TIMESTAMP, delta DOUBLE", "last DOUBLE", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-def alert_states(evals: DataFrame, for_seconds: int, step_seconds: int = 30) -> DataFrame:
-    """State changes per series as evaluations arrive: ``series, ts, state``.
-
-    ``evals`` has ``series, ts, breach``.  A gap above the step resets a pending or
-    firing alert; the change to resolved is emitted on the first calm evaluation.
-    """
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, last, status = state.get if state.exists else (None, None, "inactive")
-        out = []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for ts, breach in zip(rows["ts"], rows["breach"]):
-            now = ts.timestamp()
-            linked = last is not None and now - last <= step_seconds
-            if not breach:
-                new = "resolved" if status == "firing" and linked else "inactive"
-                since = None
-            else:
-                if since is None or not linked:
-                    since = now
-                new = "firing" if now - since >= for_seconds else "pending"
-            if new != status:
-                out.append((key[0], ts, new))
-            status, last = new, now
-        state.update((since, last, status))
-        yield pd.DataFrame(out, columns=["series", "ts", "state"])
-
-    return evals.groupBy("series").applyInPandasWithState(
-        step, "series STRING, ts TIMESTAMP, state STRING",
-        "since DOUBLE, last DOUBLE, status STRING", "append", GroupStateTimeout.NoTimeout)
-
-
 def liveness(samples: DataFrame, max_gap_ms: int = 60_000) -> DataFrame:
     """``series, up`` changes: down by timeout, up again with the next sample."""
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

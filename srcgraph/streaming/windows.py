@@ -51,7 +51,7 @@ def counter_rate(
     Samples are first reduced per step slice (increase inside, first and last
     value, by one sort and one aggregation on the same keys), then the few slices
     of a window are chained; a busy series is thus spread over its slices and no
-    slice is held as a list.  Batch form; see ``stateful.counter_deltas``.
+    slice is held as a list.  Batch form; see ``carried.counter_step`` for a stream.
     """
     def gain(a: Column, b: Column) -> Column:
         return F.when(b >= a, b - a).otherwise(b)
