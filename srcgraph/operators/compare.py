@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcgraph.operators.build import degrees
-from srcgraph.operators.components import wcc
+from srcgraph.operators.components import scc, wcc
+from srcgraph.operators.cycles import cycle_edges, simple_cycles
+from srcgraph.stage import Stage
 
 TRACKED = ["import_count", "imported_by_count", "pagerank"]
 
@@ -77,14 +79,42 @@ def diff_summary(nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None =
         "significant_changes", F.array().cast("array<string>")))
 
 
-QUICK = ["total_files", "total_imports", "circular_dependencies", "max_import_depth"]
+def changed_cycles(nodes_1: DataFrame, edges_1: DataFrame, nodes_2: DataFrame, edges_2: DataFrame) -> DataFrame:
+    """Elementary cycles that only one snapshot has: ``repo, cycle, length, change_type``.
+
+    A cycle of one snapshot alone uses an edge of that snapshot alone.  So only strong components that
+    hold such an edge are searched; the cycles of all others are the same on both sides.
+    """
+    stage = Stage(edges_1.sparkSession, "changed_cycles")
+    key = ["repo", "source", "target"]
+    changes, _ = stage.save(diff_edges(edges_1, edges_2).where("change_type <> 'unchanged' AND source <> target"))
+    found = []
+    for nodes, edges, kind in ((nodes_1, edges_1, "removed"), (nodes_2, edges_2, "added")):
+        own = changes.where(F.col("change_type") == kind).select(*key)
+        labels, _ = stage.save(scc(nodes, edges).select("repo", "id", "scc"))
+        one = labels.select("repo", F.col("id").alias("source"), F.col("scc").alias("a"))
+        two = labels.select("repo", F.col("id").alias("target"), F.col("scc").alias("b"))
+        touched = own.join(one, ["repo", "source"]).join(two, ["repo", "target"]).where("a = b").select(
+            "repo", F.col("a").alias("scc")).distinct()
+        searched, _ = stage.save(labels.join(touched, ["repo", "scc"], "left_semi").select("repo", "id", "scc"))
+        rings, _ = stage.save(simple_cycles(searched, edges, labels=searched)[0])
+        using = cycle_edges(rings).join(own, key, "left_semi").select("repo", "cycle").distinct()
+        found.append(rings.join(using, ["repo", "cycle"], "left_semi").withColumn("change_type", F.lit(kind)))
+    return found[0].unionByName(found[1])
+
+
+QUICK = ["total_files", "total_imports", "max_import_depth"]
 
 
 def quick_compare(
     nodes_1: DataFrame, edges_1: DataFrame, nodes_2: DataFrame, edges_2: DataFrame,
     metrics_1: DataFrame, metrics_2: DataFrame,
 ) -> DataFrame:
-    """Set differences and before/after/change of four metrics, one row per repo."""
+    """Set differences and before/after/change of four metrics, one row per repo.
+
+    The change of circular dependencies is exact and comes from ``changed_cycles``.  Their number before
+    is that of ``metrics_1`` (null where it was not counted), the number after is that plus the change.
+    """
     key = ["repo", "id"]
     n = nodes_1.select(*key).distinct().withColumn("a", F.lit(1)).join(
         nodes_2.select(*key).distinct().withColumn("b", F.lit(1)), key, "full").groupBy("repo").agg(
@@ -93,12 +123,19 @@ def quick_compare(
     e = diff_edges(edges_1, edges_2).groupBy("repo").agg(
         F.sum((F.col("change_type") == "added").cast("long")).alias("added_edges"),
         F.sum((F.col("change_type") == "removed").cast("long")).alias("removed_edges"))
-    m1 = metrics_1.select("repo", *[F.col(c).alias(f"{c}_before") for c in QUICK])
+    rings = changed_cycles(nodes_1, edges_1, nodes_2, edges_2).groupBy("repo").agg(
+        F.sum((F.col("change_type") == "added").cast("long")).alias("added_cycles"),
+        F.sum((F.col("change_type") == "removed").cast("long")).alias("removed_cycles"))
+    m1 = metrics_1.select("repo", *[F.col(c).alias(f"{c}_before") for c in [*QUICK, "circular_dependencies"]])
     m2 = metrics_2.select("repo", *[F.col(c).alias(f"{c}_after") for c in QUICK])
-    out = m1.join(m2, "repo").join(n, "repo", "left").join(e, "repo", "left").na.fill(
-        0, ["added_nodes", "removed_nodes", "added_edges", "removed_edges"])
+    out = m1.join(m2, "repo").join(n, "repo", "left").join(e, "repo", "left").join(
+        rings, "repo", "left").na.fill(0, [f"{way}_{what}" for what in ("nodes", "edges", "cycles")
+                                           for way in ("added", "removed")])
     for c in QUICK:
         out = out.withColumn(f"{c}_change", F.col(f"{c}_after") - F.col(f"{c}_before"))
+    out = out.withColumn("circular_dependencies_change", F.col("added_cycles") - F.col("removed_cycles"))
+    out = out.withColumn("circular_dependencies_after", F.col("circular_dependencies_before")
+                         + F.col("circular_dependencies_change"))
     return out.withColumn(
         "impact_score", F.abs(F.col("added_nodes") - F.col("removed_nodes"))
         + F.abs(F.col("added_edges") - F.col("removed_edges"))

@@ -404,26 +404,52 @@ def diff_summary(spark, sf):
     return got.withColumn("significant_changes", F.array_join("significant_changes", ","))
 
 
-@query("quick_compare", DIFF + """,
+def _own_rings(name: str) -> str:
+    """The cycle twin on the edges of one snapshot."""
+    own = RINGS
+    for word in ("mutual_e", "trail", "rings"):
+        own = own.replace(word, f"{name}_{word}")
+    return own.replace("FROM e)", f"FROM {name})")
+
+
+BOTH_RINGS = DIFF + "," + _own_rings("s1") + "," + _own_rings("s2") + """,
+dr AS (SELECT coalesce(a.cycle, b.cycle) AS cycle, coalesce(a.length, b.length) AS length,
+         CASE WHEN a.cycle IS NULL THEN 'added' ELSE 'removed' END AS change_type
+       FROM s1_rings a FULL JOIN s2_rings b ON b.cycle = a.cycle WHERE a.cycle IS NULL OR b.cycle IS NULL)"""
+
+
+@query("changed_cycles", BOTH_RINGS + """
+SELECT array_to_string(cycle, '>') AS cycle, length, change_type FROM dr""")
+def changed_cycles(spark, sf):
+    a, b = snapshots(spark, sf)
+    return compare.changed_cycles(*a, *b).select(F.array_join(F.transform(
+        "cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length", "change_type")
+
+
+@query("quick_compare", BOTH_RINGS + """,
+rc AS (SELECT repo, count(*) FILTER (change_type = 'added') - count(*) FILTER (change_type = 'removed') AS rc
+       FROM dr JOIN (SELECT repo, id FROM s1_n UNION SELECT repo, id FROM s2_n) ON id = cycle[1] GROUP BY 1),
 f1 AS (SELECT repo, count(*) FILTER (node_type <> 'external') AS f1 FROM s1_n GROUP BY 1),
 f2 AS (SELECT repo, count(*) FILTER (node_type <> 'external') AS f2 FROM s2_n GROUP BY 1),
 e1 AS (SELECT repo, count(*) AS e1 FROM s1 GROUP BY 1), e2 AS (SELECT repo, count(*) AS e2 FROM s2 GROUP BY 1)
 SELECT repo, f1 AS total_files_before, f2 AS total_files_after, f2 - f1 AS total_files_change,
   e2 - e1 AS total_imports_change, a AS added_nodes, r AS removed_nodes, ea AS added_edges, er AS removed_edges,
-  abs(a - r) + abs(ea - er) AS impact_score, false AS improvement
+  coalesce(rc, 0) AS circular_dependencies_change,
+  abs(a - r) + abs(ea - er) AS impact_score, coalesce(rc, 0) < 0 AS improvement
 FROM f1 JOIN f2 USING (repo) JOIN e1 USING (repo) JOIN e2 USING (repo)
 JOIN (SELECT repo, count(*) FILTER (change_type = 'added') AS a, count(*) FILTER (change_type = 'removed') AS r
       FROM dn GROUP BY 1) USING (repo)
 JOIN (SELECT repo, count(*) FILTER (change_type = 'added') AS ea, count(*) FILTER (change_type = 'removed') AS er
-      FROM de GROUP BY 1) USING (repo)
+      FROM de GROUP BY 1) USING (repo) LEFT JOIN rc USING (repo)
 """)
 def quick_compare(spark, sf):
     a, b = snapshots(spark, sf)
-    light = [metrics.metrics_report(*x, level="light").withColumnRenamed(
-        "total_cycles", "circular_dependencies") for x in (a, b)]
+    light = [metrics.metrics_report(*x, level="light").withColumn(
+        "circular_dependencies", F.lit(None).cast("long")) for x in (a, b)]
     return compare.quick_compare(*a, *b, *light).select(
         "repo", "total_files_before", "total_files_after", "total_files_change", "total_imports_change",
-        "added_nodes", "removed_nodes", "added_edges", "removed_edges", "impact_score", "improvement")
+        "added_nodes", "removed_nodes", "added_edges", "removed_edges", "circular_dependencies_change",
+        "impact_score", "improvement")
 
 
 # --- snapshot store -------------------------------------------------------------------------
