@@ -129,13 +129,13 @@ def external_touch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def largest_file(nodes: DataFrame) -> DataFrame:
-    """Largest file under each folder by size, then line count."""
+    """Largest file under each folder by size, then line count; ties go to the smaller id."""
     sized = folder_members(nodes).join(
         nodes.select("repo", "id", "file_path", "size_bytes", "line_count"), ["repo", "id"]
     ).where("size_bytes IS NOT NULL AND (size_bytes > 0 OR coalesce(line_count, 0) > 0)")
     pick = sized.groupBy("repo", "folder").agg(F.min_by(
         F.struct("file_path", "size_bytes", "line_count"),
-        F.struct(-F.col("size_bytes"), -F.coalesce("line_count", F.lit(0)), F.col("file_path")),
+        F.struct(-F.col("size_bytes"), -F.coalesce("line_count", F.lit(0)), F.col("id")),
     ).alias("f"))
     return pick.select("repo", "folder", F.col("f.file_path").alias("largest_file_path"),
                        F.col("f.size_bytes").alias("largest_file_size_bytes"),
