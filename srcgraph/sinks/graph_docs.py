@@ -140,6 +140,12 @@ def write_lines(lines: DataFrame, path: str) -> None:
         "repo", "part", "value").write.mode("overwrite").partitionBy("repo", "part").text(path)
 
 
+def documents(lines: DataFrame) -> DataFrame:
+    """Whole documents as rows, for many small ones that would each be a file: ``repo, part, text``."""
+    return lines.groupBy("repo", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("section", "key", "value"))), lambda x: x["value"]), "\n").alias("text"))
+
+
 def write_graph_lines(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The splittable form: folders of JSON lines."""
     nodes.write.mode("overwrite").json(f"{path}/nodes")

@@ -1,13 +1,15 @@
 """Graph documents: JSON, GraphML and GEXF to node and edge tables.
 
 The file name without its suffix, or else a ``repo=`` folder, names the repo, so a
-folder of documents is read as a portfolio.  A document is read by one task.
+folder of documents is read as a portfolio.  A document is read by one task.  Many small documents
+may come as the rows of a table (``repo, text``) instead of files.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NODE = "id STRING, file_path STRING, node_type STRING, external_kind STRING"
 _EDGE = "source STRING, target STRING, import_type STRING, line_numbers ARRAY<INT>"
@@ -63,10 +65,13 @@ def default_attrs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return named.unionByName(extra), edges
 
 
-def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_graph_json(spark: SparkSession, path: str | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Wrapped (``elements``) or flat (``nodes``/``edges``) documents."""
-    docs = spark.read.schema(_DOCUMENT).option("multiLine", True).json(path).withColumn(
-        "repo", _repo())
+    if isinstance(path, DataFrame):
+        docs = path.select("repo", F.from_json("text", _DOCUMENT).alias("d")).select("repo", "d.*")
+    else:
+        docs = spark.read.schema(_DOCUMENT).option("multiLine", True).json(path).withColumn(
+            "repo", _repo())
     n = docs.select("repo", F.explode(F.coalesce("elements.nodes", "nodes")).alias("n"))
     pick = lambda side, f: F.coalesce(F.col(f"{side}.data.{f}"), F.col(f"{side}.{f}"))
     name = F.coalesce(pick("n", "id"), F.nullif(pick("n", "file_path"), F.lit("")), F.lit("unknown"))
@@ -85,14 +90,25 @@ def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return default_attrs(nodes, edges)
 
 
-def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+def _xml(spark: SparkSession, path: str | DataFrame, tag: str, schema: str, *around: str) -> DataFrame:
+    """All elements ``tag``; in rows of documents they stand inside the elements ``around``, below the root."""
+    if isinstance(path, DataFrame):
+        shape = T.StructType.fromDDL(schema)
+        for name in (tag, *reversed(around)):
+            shape = T.StructType([T.StructField(name, T.ArrayType(shape))])
+        found = path.select("repo", F.from_xml("text", shape).alias("x"))
+        for name in (*around, tag):
+            found = found.select("repo", F.explode(F.col("x").getField(name)).alias("x"))
+        return found.select("x.*", "repo")
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn(
         "repo", _repo())
 
 
-def _undirected(spark: SparkSession, path: str, attribute: str) -> DataFrame:
+def _undirected(spark: SparkSession, path: str | DataFrame, attribute: str) -> DataFrame:
     """Documents whose edges count in both directions."""
     rx = attribute + r"""\s*=\s*["']undirected["']"""
+    if isinstance(path, DataFrame):
+        return path.where(F.col("text").rlike(rx)).select("repo").distinct()
     return spark.read.text(path).where(F.col("value").rlike(rx)).select(
         _repo().alias("repo")).distinct()
 
@@ -115,10 +131,10 @@ def _wide(rows: DataFrame, key: list[str], names: list[str]) -> DataFrame:
         F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
 
 
-def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_graphml(spark: SparkSession, path: str | DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = _xml(spark, path, "key", "`_id` STRING, `_for` STRING, `_attr.name` STRING").select(
         "repo", F.col("_for").alias("domain"), F.col("_id").alias("key"),
-        F.col("`_attr.name`").alias("name"))
+        F.col("`_attr.name`").alias("name")).distinct()  # every document of a repo declares them
     data = "data ARRAY<STRUCT<_key: STRING, _VALUE: STRING>>"
 
     def attrs(df: DataFrame, domain: str, key: list[str], names: list[str]) -> DataFrame:
@@ -127,8 +143,8 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         mine = keys.where(F.col("domain").isin(domain, "all")).select("repo", "key", "name")
         return _wide(rows.join(mine, ["repo", "key"], "left"), ["repo", *key], names)
 
-    n = _xml(spark, path, "node", f"`_id` STRING, {data}").withColumnRenamed("_id", "id")
-    e = _xml(spark, path, "edge", f"`_source` STRING, `_target` STRING, {data}").select(
+    n = _xml(spark, path, "node", f"`_id` STRING, {data}", "graph").withColumnRenamed("_id", "id")
+    e = _xml(spark, path, "edge", f"`_source` STRING, `_target` STRING, {data}", "graph").select(
         "repo", F.col("_source").alias("source"), F.col("_target").alias("target"), "data")
     nodes = attrs(n, "node", ["id"], ["file_path", "node_type", "external_kind"])
     edges = attrs(e, "edge", ["source", "target"], ["import_type", "line_numbers"]).withColumn(
@@ -136,11 +152,11 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return default_attrs(nodes, _both_ways(edges, _undirected(spark, path, "edgedefault")))
 
 
-def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_gexf(spark: SparkSession, path: str | DataFrame) -> tuple[DataFrame, DataFrame]:
     titles = _xml(spark, path, "attributes",
-                  "`_class` STRING, attribute ARRAY<STRUCT<_id: STRING, _title: STRING>>").select(
+                  "`_class` STRING, attribute ARRAY<STRUCT<_id: STRING, _title: STRING>>", "graph").select(
         "repo", F.col("_class").alias("domain"), F.explode("attribute").alias("a")).select(
-        "repo", "domain", F.col("a._id").alias("key"), F.col("a._title").alias("name"))
+        "repo", "domain", F.col("a._id").alias("key"), F.col("a._title").alias("name")).distinct()  # every document of a repo declares them
     data = "attvalues STRUCT<attvalue: ARRAY<STRUCT<_for: STRING, _value: STRING>>>"
 
     def attrs(df: DataFrame, domain: str, key: list[str], names: list[str]) -> DataFrame:
@@ -149,8 +165,8 @@ def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         mine = titles.where(F.col("domain") == domain).select("repo", "key", "name")
         return _wide(rows.join(mine, ["repo", "key"], "left"), ["repo", *key], names)
 
-    n = _xml(spark, path, "node", f"`_id` STRING, {data}").withColumnRenamed("_id", "id")
-    e = _xml(spark, path, "edge", f"`_source` STRING, `_target` STRING, {data}").select(
+    n = _xml(spark, path, "node", f"`_id` STRING, {data}", "graph", "nodes").withColumnRenamed("_id", "id")
+    e = _xml(spark, path, "edge", f"`_source` STRING, `_target` STRING, {data}", "graph", "edges").select(
         "repo", F.col("_source").alias("source"), F.col("_target").alias("target"), "attvalues")
     nodes = attrs(n, "node", ["id"], ["file_path", "node_type", "external_kind"])
     edges = attrs(e, "edge", ["source", "target"], ["import_type", "line_numbers"]).withColumn(
