@@ -95,7 +95,7 @@ def join_path(folder, name) -> Column:
 
 def path_prefixes(path) -> Column:
     """All prefixes of a path, shortest first, the path itself last."""
-    parts = F.split(_col(path), "/")
+    p = _col(path)
     return F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+        F.sequence(F.lit(1), F.size(F.split(p, "/"))),
+        lambda i: F.call_function("substring_index", p, F.lit("/"), i))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from srcgraph.functions.paths import base_name, folder_path, is_under_folder, path_prefixes
 from srcgraph.operators.components import scc
 from srcgraph.operators.traverse import node_depth
+from srcgraph.stage import Stage
 
 CLUSTER_PREFIX = "cluster:"
 
@@ -18,11 +19,15 @@ def _inner(nodes: DataFrame) -> DataFrame:
     return nodes.where("node_type <> 'external'")
 
 
-def folder_members(nodes: DataFrame) -> DataFrame:
-    """Every internal node under each of its folders: ``repo, folder, id``."""
-    here = folder_path("file_path")
-    return _inner(nodes).where(here != "").select(
-        "repo", F.explode(path_prefixes(here)).alias("folder"), "id")
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Nodes with their ``directory``, which a caller of several operators may have written already."""
+    return nodes if "directory" in nodes.columns else nodes.withColumn("directory", folder_path("file_path"))
+
+
+def folder_members(nodes: DataFrame, *columns: str) -> DataFrame:
+    """Every internal node under each of its folders: ``repo, folder, id`` and further columns."""
+    return _inner(_placed(nodes)).where("directory <> ''").select(
+        "repo", F.explode(path_prefixes("directory")).alias("folder"), "id", *columns)
 
 
 def folder_subgraph(nodes: DataFrame, edges: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +48,7 @@ def folder_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     The shared folders of both ends are the common prefixes of their paths, so the
     edge list is joined with the node paths and then exploded.
     """
-    path = _inner(nodes).select("repo", "id", folder_path("file_path").alias("d"))
+    path = _inner(_placed(nodes)).select("repo", "id", F.col("directory").alias("d"))
     ends = (
         edges.select("repo", "source", "target").distinct()
         .join(path.select("repo", F.col("id").alias("source"), F.col("d").alias("ds")),
@@ -65,17 +70,17 @@ def _unscoped(df: DataFrame) -> DataFrame:
     return df.select(F.col("repo.repo").alias("repo"), F.col("repo.folder").alias("folder"), *rest)
 
 
-def folder_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Largest of the nearest-entry distances inside each folder."""
-    depth = node_depth(_scoped(folder_members(nodes), "id"),
-                       _scoped(folder_edges(nodes, edges), "source", "target"))
+def folder_depth(nodes: DataFrame, edges: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+    """Largest of the nearest-entry distances inside each folder; ``inside`` is ``folder_edges``, if it is known."""
+    inside = folder_edges(nodes, edges) if inside is None else inside
+    depth = node_depth(_scoped(folder_members(nodes), "id"), _scoped(inside, "source", "target"))
     return _unscoped(depth.groupBy("repo").agg(F.max("depth").alias("max_import_depth")))
 
 
-def folder_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def folder_cycles(nodes: DataFrame, edges: DataFrame, inside: DataFrame | None = None) -> DataFrame:
     """Components of more than one node inside each folder, and the largest one."""
-    parts = scc(_scoped(folder_members(nodes), "id"),
-                _scoped(folder_edges(nodes, edges), "source", "target"))
+    inside = folder_edges(nodes, edges) if inside is None else inside
+    parts = scc(_scoped(folder_members(nodes), "id"), _scoped(inside, "source", "target"))
     size = parts.groupBy("repo", "scc").agg(F.count(F.lit(1)).alias("size"))
     big = F.when(F.col("size") > 1, F.col("size"))
     return _unscoped(size.groupBy("repo").agg(
@@ -83,16 +88,18 @@ def folder_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.coalesce(F.max(big), F.lit(0)).alias("largest_scc_size")))
 
 
-def folder_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Degrees inside each folder: ``repo, folder, id, import_count, imported_by_count``."""
+def folder_degrees(nodes: DataFrame, edges: DataFrame, inside: DataFrame | None = None, *columns: str) -> DataFrame:
+    """Degrees inside each folder: ``repo, folder, id, import_count, imported_by_count`` and columns of the node."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    ends = folder_edges(nodes, edges).select("repo", "folder", F.explode(F.array(
+    inside = folder_edges(nodes, edges) if inside is None else inside
+    ends = inside.select("repo", "folder", F.explode(F.array(
         F.struct(F.col("source").alias("id"), one.alias("o"), zero.alias("i")),
         F.struct(F.col("target").alias("id"), zero.alias("o"), one.alias("i")))).alias("e")
-    ).select("repo", "folder", "e.*")
-    base = folder_members(nodes).select("repo", "folder", "id", zero.alias("o"), zero.alias("i"))
+    ).select("repo", "folder", "e.*", *[F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in columns])
+    base = folder_members(nodes, *columns).select("repo", "folder", "id", zero.alias("o"), zero.alias("i"), *columns)
     return ends.unionByName(base).groupBy("repo", "folder", "id").agg(
-        F.sum("o").alias("import_count"), F.sum("i").alias("imported_by_count"))
+        F.sum("o").alias("import_count"), F.sum("i").alias("imported_by_count"),
+        *[F.max(c).alias(c) for c in columns])
 
 
 def external_touch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -100,11 +107,11 @@ def external_touch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Outside means outside the folder: externals and files of other folders.
     """
-    prefixes = nodes.select(
+    prefixes = _placed(nodes).select(
         "repo", "id",
         F.when(F.col("node_type") == "external", F.array().cast("array<string>"))
-        .when(folder_path("file_path") == "", F.array().cast("array<string>"))
-        .otherwise(path_prefixes(folder_path("file_path"))).alias("p"),
+        .when(F.col("directory") == "", F.array().cast("array<string>"))
+        .otherwise(path_prefixes("directory")).alias("p"),
         F.when(F.col("node_type") == "external", F.coalesce("external_kind", F.lit("package")))
         .alias("kind"))
     ends = (
@@ -130,22 +137,26 @@ def external_touch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def largest_file(nodes: DataFrame) -> DataFrame:
     """Largest file under each folder by size, then line count; ties go to the smaller id."""
-    sized = folder_members(nodes).join(
-        nodes.select("repo", "id", "file_path", "size_bytes", "line_count"), ["repo", "id"]
-    ).where("size_bytes IS NOT NULL AND (size_bytes > 0 OR coalesce(line_count, 0) > 0)")
-    pick = sized.groupBy("repo", "folder").agg(F.min_by(
-        F.struct("file_path", "size_bytes", "line_count"),
-        F.struct(-F.col("size_bytes"), -F.coalesce("line_count", F.lit(0)), F.col("id")),
-    ).alias("f"))
+    best = F.min_by(F.struct("file_path", "size_bytes", "line_count", "id"), F.struct(
+        -F.col("size_bytes"), -F.coalesce("line_count", F.lit(0)), F.col("id"))).alias("f")
+    # the largest of each directory first, so that only one row a directory goes to all folders above it
+    own = _inner(_placed(nodes)).where(
+        "directory <> '' AND size_bytes IS NOT NULL AND (size_bytes > 0 OR coalesce(line_count, 0) > 0)"
+    ).groupBy("repo", "directory").agg(best)
+    pick = own.select("repo", F.explode(path_prefixes("directory")).alias("folder"), "f.*").groupBy(
+        "repo", "folder").agg(best)
     return pick.select("repo", "folder", F.col("f.file_path").alias("largest_file_path"),
                        F.col("f.size_bytes").alias("largest_file_size_bytes"),
                        F.col("f.line_count").alias("largest_file_line_count"))
 
 
-def folder_statistics(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
+def folder_statistics(
+    nodes: DataFrame, edges: DataFrame, n: int = 10, inside: DataFrame | None = None,
+) -> DataFrame:
     """Counts and import statistics of every folder."""
-    label = nodes.select("repo", "id", base_name("file_path").alias("label"), "file_path")
-    d = folder_degrees(nodes, edges).join(label, ["repo", "id"])
+    # three frames read it
+    d, _ = Stage(edges.sparkSession, "folder_degrees").save(folder_degrees(nodes, edges, inside, "file_path"))
+    d = d.withColumn("label", base_name("file_path"))
     key = ["repo", "folder"]
     arg = lambda c, v: F.min_by(v, F.struct(-F.col(c), F.col("id")))
     base = d.groupBy(*key).agg(
@@ -180,9 +191,13 @@ def folder_statistics(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFr
 def folder_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """All folder metrics, one row per (repo, folder)."""
     key = ["repo", "folder"]
+    # directories and the edges inside folders are found once
+    stage = Stage(edges.sparkSession, "folder_metrics")
+    nodes, _ = stage.save(_placed(nodes))
+    inside, _ = stage.save(folder_edges(nodes, edges))
     out = reduce(lambda a, b: a.join(b, key, "left"), [
-        folder_statistics(nodes, edges), folder_depth(nodes, edges), folder_cycles(nodes, edges),
-        external_touch(nodes, edges), largest_file(nodes)])
+        folder_statistics(nodes, edges, inside=inside), folder_depth(nodes, edges, inside),
+        folder_cycles(nodes, edges, inside), external_touch(nodes, edges), largest_file(nodes)])
     for name in ("external_node_count", "external_edges", "external_stdlib_count",
                  "external_package_count"):
         out = out.withColumn(name, F.coalesce(name, F.lit(0)))
