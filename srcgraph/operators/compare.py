@@ -176,9 +176,9 @@ def _undirected(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def graph_shape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Totals, degrees, density, weak components, connectivity and clustering."""
-    d = degrees(nodes, edges).withColumn("degree", F.col("import_count") + F.col("imported_by_count"))
+def graph_shape(nodes: DataFrame, edges: DataFrame, deg: DataFrame | None = None) -> DataFrame:
+    """Totals, degrees, density, weak components, connectivity and clustering; ``deg`` is ``degrees``, if it is known."""
+    d = (degrees(nodes, edges) if deg is None else deg).withColumn("degree", F.col("import_count") + F.col("imported_by_count"))
     n = d.groupBy("repo").agg(
         F.count(F.lit(1)).alias("total_nodes"), F.sum("import_count").alias("total_edges"),
         F.bround(F.avg("degree"), 4).alias("avg_degree"), F.max("degree").alias("max_degree"))
