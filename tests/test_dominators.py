@@ -2,7 +2,7 @@
 
 import random
 
-from srcgraph.operators import impact
+from srcgraph.operators import impact, local
 from srcgraph.operators.dominators import dominators
 
 
@@ -83,3 +83,20 @@ def test_orphans_stand_once(spark):
     got = {(r.gone, r.id, r.lost) for r in impact.removal_orphans(nodes, edges).collect()}
     assert got == {("a", "b", False), ("a", "c", False), (None, "u", True), (None, "v", True),
                    ("u", "v", True), ("v", "u", True)}
+
+
+def test_removal_in_tasks_equals_staged_rounds_and_takes_few_jobs(spark, monkeypatch):
+    graphs = list(_random_graphs(30, 3))
+    chain = [(i, i + 1) for i in range(40)]
+    nodes = spark.createDataFrame(
+        [(g, v, "external" if v % 5 == 4 else "module") for g, size, _ in [*graphs, ("chain", 41, chain)]
+         for v in range(size)], "repo STRING, id INT, node_type STRING")
+    edges = spark.createDataFrame([(g, a, b) for g, _, pairs in [*graphs, ("chain", 41, chain)] for a, b in pairs],
+                                  "repo STRING, source INT, target INT")
+    spark.sparkContext.setJobGroup("removal", "removal")
+    inside = sorted(map(str, impact.removal_orphans(nodes, edges, True).collect()))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("removal")
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(jobs) < 20
+    monkeypatch.setattr(local, "IN_TASK", 25)  # the chain and the larger graphs beyond, the others within
+    assert inside == sorted(map(str, impact.removal_orphans(nodes, edges, True).collect()))
