@@ -67,3 +67,32 @@ def test_jobs_do_not_grow_with_the_length_of_a_chain(spark, name):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     spark.sparkContext.setJobGroup("rest", "rest")
     assert len(jobs) < 40
+
+
+def test_report_and_strong_components_in_tasks_equal_staged_rounds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from srcgraph.operators import compare, cycles, metrics
+    n, e = _graph(spark, 11)
+    n = n.withColumn("node_type", F.when(F.col("id").endswith("3"), "external").otherwise("module"))
+    work = {
+        "full": lambda: metrics.metrics_report(n, e).drop("hub_modules"), "scc": lambda: components.scc(n, e),
+        "shape": lambda: compare.graph_shape(n, e), "cycles": lambda: cycles.simple_cycles(n, e)[0]}
+    inside = {k: sorted(map(str, f().collect())) for k, f in work.items()}
+    kinds = {k: sorted(f().dtypes) for k, f in work.items()}
+    monkeypatch.setattr(local, "IN_TASK", 20)
+    assert inside == {k: sorted(map(str, f().collect())) for k, f in work.items()}
+    assert kinds == {k: sorted(f().dtypes) for k, f in work.items()}
+    assert inside["cycles"]
+
+
+def test_strong_components_take_few_jobs(spark):
+    ids = [f"n{i:03d}" for i in range(60)]
+    n = spark.createDataFrame([("r", i) for i in ids], "repo STRING, id STRING")
+    e = spark.createDataFrame([("r", a, b) for a, b in zip(ids, [*ids[1:], ids[30]])],
+                              "repo STRING, source STRING, target STRING")
+    spark.sparkContext.setJobGroup("strong", "strong")
+    got = components.scc(n, e).where("scc <> id").count()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("strong")
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert got == 29 and len(jobs) < 20
