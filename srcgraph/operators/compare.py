@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcgraph.operators import local
 from srcgraph.operators.build import degrees
 from srcgraph.operators.components import scc, wcc
 from srcgraph.operators.cycles import cycle_edges, simple_cycles
@@ -177,21 +178,36 @@ def _undirected(edges: DataFrame) -> DataFrame:
 
 
 def graph_shape(nodes: DataFrame, edges: DataFrame, deg: DataFrame | None = None) -> DataFrame:
-    """Totals, degrees, density, weak components, connectivity and clustering; ``deg`` is ``degrees``, if it is known."""
+    """Totals, degrees, density, weak components, connectivity and clustering.
+
+    Repositories that fit a task are measured there in one pass (``local``); ``deg`` is ``degrees`` for the others, if
+    it is known.
+    """
+    got, large = local.by_repo(
+        nodes, edges, local.shape,
+        "total_nodes long, total_edges long, degrees long, max_degree long, num_components long, c double")
+    got = got.withColumn("avg_degree", F.bround(F.col("degrees") / F.col("total_nodes"), 4)).drop("degrees")
+    if large is not None:
+        got = got.unionByName(_shape_by_frames(
+            local.only(nodes, large), local.only(edges, large), None if deg is None else local.only(deg, large)))
+    dens = F.when(F.col("total_nodes") > 1, F.bround(
+        F.col("total_edges") / (F.col("total_nodes") * (F.col("total_nodes") - 1)), 4)).otherwise(0.0)
+    return got.select(
+        "repo", "total_nodes", "total_edges", "avg_degree", "max_degree", dens.alias("density"),
+        "num_components", (F.col("num_components") == 1).alias("is_connected"),
+        F.bround(F.coalesce("c", F.lit(0.0)) / F.col("total_nodes"), 6).alias("avg_clustering"))
+
+
+def _shape_by_frames(nodes: DataFrame, edges: DataFrame, deg: DataFrame | None) -> DataFrame:
     d = (degrees(nodes, edges) if deg is None else deg).withColumn("degree", F.col("import_count") + F.col("imported_by_count"))
     n = d.groupBy("repo").agg(
         F.count(F.lit(1)).alias("total_nodes"), F.sum("import_count").alias("total_edges"),
         F.bround(F.avg("degree"), 4).alias("avg_degree"), F.max("degree").alias("max_degree"))
     und = _undirected(edges).select("repo", F.explode(F.array("a", "b")).alias("id")).groupBy(
         "repo", "id").agg(F.count(F.lit(1)).alias("d"))
-    local = und.join(triangles(nodes, edges), ["repo", "id"], "left").where("d > 1").select(
+    around = und.join(triangles(nodes, edges), ["repo", "id"], "left").where("d > 1").select(
         "repo", (2 * F.coalesce("triangles", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).alias("c"))
-    cl = local.groupBy("repo").agg(F.sum("c").alias("c"))
+    cl = around.groupBy("repo").agg(F.sum("c").alias("c"))
     parts = wcc(nodes, edges).where("id = component").groupBy("repo").agg(
         F.count(F.lit(1)).alias("num_components"))
-    dens = F.when(F.col("total_nodes") > 1, F.bround(
-        F.col("total_edges") / (F.col("total_nodes") * (F.col("total_nodes") - 1)), 4)).otherwise(0.0)
-    return n.join(parts, "repo").join(cl, "repo", "left").select(
-        "repo", "total_nodes", "total_edges", "avg_degree", "max_degree", dens.alias("density"),
-        "num_components", (F.col("num_components") == 1).alias("is_connected"),
-        F.bround(F.coalesce("c", F.lit(0.0)) / F.col("total_nodes"), 6).alias("avg_clustering"))
+    return n.join(parts, "repo").join(cl, "repo", "left")
