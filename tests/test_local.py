@@ -75,8 +75,9 @@ def test_report_and_strong_components_in_tasks_equal_staged_rounds(spark, monkey
     from srcgraph.operators import compare, cycles, metrics
     n, e = _graph(spark, 11)
     n = n.withColumn("node_type", F.when(F.col("id").endswith("3"), "external").otherwise("module"))
+    rank = n.select("repo", "id", F.lit(0.1).alias("pagerank"))
     work = {
-        "full": lambda: metrics.metrics_report(n, e).drop("hub_modules"), "scc": lambda: components.scc(n, e),
+        "full": lambda: metrics.metrics_report(n, e, "full", rank), "scc": lambda: components.scc(n, e),
         "shape": lambda: compare.graph_shape(n, e), "cycles": lambda: cycles.simple_cycles(n, e)[0]}
     inside = {k: sorted(map(str, f().collect())) for k, f in work.items()}
     kinds = {k: sorted(f().dtypes) for k, f in work.items()}

@@ -3,6 +3,7 @@
 import datetime
 import itertools
 
+from srcgraph.plans import queries_graph
 from srcgraph.plans import views
 
 
@@ -24,3 +25,14 @@ def test_pairs_of_consecutive_lines(spark, tmp_path):
     # the lines are read and dealt once, and no order table is broadcast by the size of its file
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 2 and "Broadcast" not in plan
+
+
+def test_top_nodes_join_few_rows_to_the_nodes(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(threshold)
+    spark.conf.set(threshold, "64k")  # all ranks are more than that
+    try:
+        plan = queries_graph.top_nodes(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, old)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
