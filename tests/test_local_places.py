@@ -2,8 +2,10 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from test_local import _graph as _random
 
-from srcgraph.operators import centrality, local
+from srcgraph.operators import build, centrality, cycles, explore, impact, local
 
 
 def _star(leaves, out=False):
@@ -44,3 +46,47 @@ def _exchanges(df):
 def test_centralities_come_whole_out_of_the_tasks(spark, name):
     got = getattr(centrality, name)(*_graph(spark))
     assert got.count() == 12 and _exchanges(got) == 1
+
+
+def _scores(n, e):
+    return n.select("repo", "id", (F.ascii(F.substring("id", 3, 1)) / 100.0).alias("pagerank"))
+
+
+WHOLE = {
+    "scores": lambda n, e: impact.impact_scores(n, e, None, _scores(n, e)),
+    "scores_of_some": lambda n, e: impact.impact_scores(
+        n, e, n.where("id LIKE '%2'").select("repo", "id"), _scores(n, e), 2, True),
+    "chains": lambda n, e: impact.dependency_chains(n, e, None, 2),
+    "chains_of_some": lambda n, e: impact.dependency_chains(n, e, n.where("id LIKE '%2'").select("repo", "id"), 2, True),
+    "roles": explore.standing,
+    "texts": lambda n, e: explore.standing(n, e, _scores(n, e)),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_one_exchange_in_tasks_and_the_same_rows_by_staged_rounds(spark, monkeypatch, name):
+    n, e = _random(spark, 7)
+    n = n.withColumn("node_type", F.when(F.col("id").endswith("3"), "external").otherwise("module")).localCheckpoint()
+    got = WHOLE[name](n, e)
+    inside = _sorted(got)
+    assert inside and _exchanges(got) == 1
+    monkeypatch.setattr(local, "IN_TASK", 20)  # one repository beyond
+    assert inside == _sorted(WHOLE[name](n, e))
+
+
+def _sorted(df):
+    return sorted((tuple(round(v, 10) if isinstance(v, float) else v for v in r)
+                   for r in df.select(*sorted(df.columns)).collect()), key=str)
+
+
+def test_scores_and_cycles_are_those_of_the_lists(spark):
+    n, e = _random(spark, 11)
+    n = n.withColumn("node_type", F.when(F.col("id").endswith("3"), "external").otherwise("module")).localCheckpoint()
+    rank, asked = _scores(n, e), n.select("repo", "id")
+    listed = impact.impact_score(n, impact.affected_files(n, e, asked, rank), asked, rank)
+    assert _sorted(listed) == _sorted(impact.impact_scores(n, e, None, rank))
+    on = cycles.cycle_participation(n, cycles.simple_cycles(n, e)[0]).where("cycle_count > 0").select("repo", "id")
+    got = explore.standing(n, e)
+    assert _sorted(on) == _sorted(got.where("cycle_count > 0").select("repo", "id")) and on.count()
+    deg = got.select("repo", "id", "import_count", "imported_by_count")
+    assert _sorted(build.degrees(n, e)) == _sorted(deg)
