@@ -58,6 +58,8 @@ WHOLE = {
         n, e, n.where("id LIKE '%2'").select("repo", "id"), _scores(n, e), 2, True),
     "chains": lambda n, e: impact.dependency_chains(n, e, None, 2),
     "chains_of_some": lambda n, e: impact.dependency_chains(n, e, n.where("id LIKE '%2'").select("repo", "id"), 2, True),
+    "own_ranks": lambda n, e: impact.impact_scores(n, e, None),
+    "own_texts": lambda n, e: explore.standing(n, e, ranked=True),
     "roles": explore.standing,
     "texts": lambda n, e: explore.standing(n, e, _scores(n, e)),
 }
