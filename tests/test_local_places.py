@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_local import _graph as _random
 
-from srcgraph.operators import build, centrality, cycles, explore, impact, local
+from srcgraph.operators import build, centrality, cycles, explore, impact, local, spectral
 
 
 def _star(leaves, out=False):
@@ -58,8 +58,6 @@ WHOLE = {
         n, e, n.where("id LIKE '%2'").select("repo", "id"), _scores(n, e), 2, True),
     "chains": lambda n, e: impact.dependency_chains(n, e, None, 2),
     "chains_of_some": lambda n, e: impact.dependency_chains(n, e, n.where("id LIKE '%2'").select("repo", "id"), 2, True),
-    "own_ranks": lambda n, e: impact.impact_scores(n, e, None),
-    "own_texts": lambda n, e: explore.standing(n, e, ranked=True),
     "roles": explore.standing,
     "texts": lambda n, e: explore.standing(n, e, _scores(n, e)),
 }
@@ -92,3 +90,11 @@ def test_scores_and_cycles_are_those_of_the_lists(spark):
     assert _sorted(on) == _sorted(got.where("cycle_count > 0").select("repo", "id")) and on.count()
     deg = got.select("repo", "id", "import_count", "imported_by_count")
     assert _sorted(build.degrees(n, e)) == _sorted(deg)
+
+
+def test_ranks_found_in_the_pass_are_those_of_pagerank(spark):
+    n, e = _random(spark, 7)
+    rank = spectral.pagerank(n, e)
+    own, given = impact.impact_scores(n, e, None), impact.impact_scores(n, e, None, rank)
+    assert _exchanges(own) == 1 and _sorted(own) == _sorted(given)
+    assert _sorted(explore.standing(n, e, ranked=True)) == _sorted(explore.standing(n, e, rank))
